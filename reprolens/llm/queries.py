@@ -4,16 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, packing
 from ._common import table
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file on this machine (never copied)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    pieces = packing.pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
+    return packing.pack(pieces, capacity=4096)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the largest doc_id of its equal texts."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
 QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
