@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing
+from . import exact_dedup, packing, quality, secret_scan
 from ._common import table
 
 
@@ -21,12 +21,24 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, capacity=4096)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from four fifths of the labels."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the largest doc_id of its equal texts."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate in every document, scored by the forest."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(spark))
+
+
 QUERIES = {
+    "op7_quality_classifier": op7_quality_classifier,
+    "op10_secret_scan": op10_secret_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op9_exact_dedup": op9_exact_dedup,
 }
