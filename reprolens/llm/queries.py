@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, quality, secret_scan
+from . import exact_dedup, jaccard, packing, quality, secret_scan
 from ._common import table
 
 
@@ -21,6 +21,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, capacity=4096)
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets reach a similarity of 0.8."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=5, share=80)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from four fifths of the labels."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
@@ -37,6 +42,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_quality_classifier": op7_quality_classifier,
     "op10_secret_scan": op10_secret_scan,
     "op3_best_fit_packing": op3_best_fit_packing,
@@ -44,6 +50,29 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op5_ngram_jaccard_join": """
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws
+          FROM documents),
+        s AS (
+          SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g
+          FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        link AS (
+          SELECT a.doc_id AS x, b.doc_id AS y
+          FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+          JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+          GROUP BY a.doc_id, b.doc_id, na.n, nb.n
+          HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+        reach AS (
+          SELECT doc_id, doc_id AS other FROM w
+          UNION
+          SELECT r.doc_id, l.y FROM reach r JOIN link l ON l.x = r.other)
+        SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.other) AS component_id
+        FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id
+        GROUP BY r.doc_id
+    """,
     "op9_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
