@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard, packing, quality, secret_scan
+from . import exact_dedup, fingerprints, jaccard, packing, quality, secret_scan
 from ._common import table
 
 
@@ -15,6 +15,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edit."""
+    return fingerprints.edited_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     pieces = packing.pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
@@ -42,6 +47,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_merkle_fingerprints": op1_merkle_fingerprints,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_quality_classifier": op7_quality_classifier,
     "op10_secret_scan": op10_secret_scan,
