@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, jaccard, packing, quality, secret_scan
+from . import exact_dedup, fingerprints, jaccard, packing, quality, secret_scan, warc
 from ._common import table
 
 
@@ -26,6 +26,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, capacity=4096)
 
 
+def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as WARC records, read back and assembled."""
+    return warc.page_digests(table(spark, sf_dir, "pages"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets reach a similarity of 0.8."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=5, share=80)
@@ -47,6 +52,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_warc_transactions": op4_warc_transactions,
     "op1_merkle_fingerprints": op1_merkle_fingerprints,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_quality_classifier": op7_quality_classifier,
@@ -56,6 +62,15 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_warc_transactions": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS n FROM pages),
+        q AS (SELECT page_id, n, sha1(body) AS d,
+                     CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY body) ELSE page_id END AS top FROM p)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest,
+               CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN top <> page_id THEN top END AS refers_to
+        FROM q
+    """,
     "op5_ngram_jaccard_join": """
         WITH RECURSIVE w AS (
           SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
