@@ -91,6 +91,18 @@ class Words:
         return np.repeat(np.arange(len(self)), self.counts)
 
 
+def assemble(parts: list[bytes], codes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Arrays of unsigned 32-bit ids: the i-th is the parts of ``codes[starts[i]:starts[i + 1]]`` in a row."""
+    flat = np.frombuffer(b"".join(parts), "<u4")
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    first = np.cumsum(sizes) - sizes
+    n = sizes[codes]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    out = flat[np.repeat(first[codes] - ends[:-1], n) + np.arange(ends[-1])]
+    bounds = ends[starts].tolist()
+    return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 def bytes_hash(values: pa.Array) -> np.ndarray:
     """Stable 64-bit hash of each string (the same in every process)."""
     import xxhash

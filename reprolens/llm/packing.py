@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, blocks, cut, text_or_empty
+from ._common import Words, assemble, blocks, cut, text_or_empty
 
 CAPACITY = 4096
 #: Pieces of one packing group (about 40 bytes each) and the most exchange rounds.
@@ -82,15 +82,7 @@ class ChunkEncoder:
 
     def _gather(self, texts: pa.Array, encode) -> list[np.ndarray]:
         w = Words(texts, lower=False)
-        ids = encode(w.vocab.to_pylist())
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        first = np.cumsum(sizes) - sizes
-        n = sizes[w.codes]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        out = flat[np.repeat(first[w.codes] - ends[:-1], n) + np.arange(ends[-1])]
-        bounds = ends[w.starts].tolist()
-        return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return assemble(encode(w.vocab.to_pylist()), w.codes, w.starts)
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, as little-endian unsigned 32-bit arrays."""

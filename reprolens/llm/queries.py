@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, jaccard, packing, quality, secret_scan, warc
+from . import exact_dedup, fingerprints, jaccard, packing, quality, secret_scan, spm, warc
 from ._common import table
 
 
@@ -20,6 +20,11 @@ def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, decoded and compared with the sentencepiece library."""
+    return spm.verify(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     pieces = packing.pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
@@ -52,6 +57,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_warc_transactions": op4_warc_transactions,
     "op1_merkle_fingerprints": op1_merkle_fingerprints,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
