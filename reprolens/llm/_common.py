@@ -123,13 +123,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def blocks(batches, max_bytes: int = 4 << 20):
-    """Arrow batches cut into slices of about ``max_bytes`` (one row at least)."""
+    """Arrow batches cut into parts of about ``max_bytes`` (one row at least).
+
+    Parts are copies: some Arrow string kernels misread arrays whose first offset
+    is not zero, as a slice's may be.
+    """
     for b in batches:
         if not b.num_rows:
             continue
         rows = max(1, int(b.num_rows * max_bytes / max(b.nbytes, 1)))
         for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+            n = min(rows, b.num_rows - at)
+            yield b if n == b.num_rows else b.take(pa.array(np.arange(at, at + n)))
 
 
 def quiet_threads() -> None:
