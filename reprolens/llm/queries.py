@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, jaccard, packing, quality, secret_scan, spm, warc
+from . import exact_dedup, fingerprints, jaccard, packing, quality, secret_scan, spm, toxicity, warc
 from ._common import table
 
 
@@ -46,6 +46,11 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from four fifths of the labels."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the largest doc_id of its equal texts."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
@@ -57,6 +62,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_toxicity": op8_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_warc_transactions": op4_warc_transactions,
     "op1_merkle_fingerprints": op1_merkle_fingerprints,
