@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, jaccard, packing, quality, secret_scan, spm, toxicity, warc
+from . import exact_dedup, fingerprints, jaccard, lm, packing, quality, secret_scan, spm, toxicity, warc
 from ._common import table
 
 
@@ -41,6 +41,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=5, share=80)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document under a model of six sevenths of them."""
+    return lm.score(table(spark, sf_dir, "documents"), folds=7, held=2)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from four fifths of the labels."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
@@ -62,6 +67,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_lm_scoring": op6_lm_scoring,
     "op8_toxicity": op8_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_warc_transactions": op4_warc_transactions,
