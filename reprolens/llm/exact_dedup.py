@@ -16,6 +16,10 @@ from ._common import text_or_empty
 
 #: A text is hot when it covers more than one in so many rows.
 HOT_GROUPS = 2000
+#: Splitters are sampled from so many first characters and the text's hash, so the
+#: sample that the driver sorts stays small however long the texts are, and texts with
+#: a common beginning are still split.
+SPLITTER = 32
 
 
 def _hot_hashes(rows: DataFrame, hot_groups: int) -> list[int]:
@@ -54,16 +58,17 @@ def exact_groups(
     is_hot = F.col("_h").isin(hot) if hot else F.lit(False)
 
     # Equal texts have equal keys, so a range boundary never separates them and
-    # the window below needs no second exchange.
-    near = Window.partitionBy("_t")
+    # the window below, whose keys include those of the ranges, needs no second exchange.
+    near = Window.partitionBy("_p", "_h", "_t")
     cold = (
         rows.where(~is_hot)
-        .repartitionByRange("_t")
+        .withColumn("_p", F.left("_t", F.lit(SPLITTER)))
+        .repartitionByRange("_p", "_h")
         .withColumn("keep_id", best("_id").over(near))
         .withColumn("group_size", F.count(F.lit(1)).over(near))
         .withColumn("text_sha256", F.sha2("_t", 256))
     )
-    out = cold.drop("_t", "_h")
+    out = cold.drop("_t", "_h", "_p")
     if hot:
         warm = rows.where(is_hot).withColumn("text_sha256", F.sha2("_t", 256))
         totals = (
@@ -110,10 +115,11 @@ def deduplicate(
     is_hot = F.col("_h").isin(hot) if hot else F.lit(False)
     cold = (
         packed.where(~is_hot)
-        .repartitionByRange("_t")
-        .withColumn("_n", F.row_number().over(Window.partitionBy("_t").orderBy(first)))
+        .withColumn("_p", F.left("_t", F.lit(SPLITTER)))
+        .repartitionByRange("_p", "_h")
+        .withColumn("_n", F.row_number().over(Window.partitionBy("_p", "_h", "_t").orderBy(first)))
         .where("_n = 1")
-        .drop("_n")
+        .drop("_n", "_p")
     )
     out = cold
     if hot:
