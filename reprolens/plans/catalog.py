@@ -1,4 +1,9 @@
-"""Registered queries and their SQL equivalents."""
+"""Registered queries and their SQL equivalents: one for each operator."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from . import design, evidence, learned, maps, partitions
+
+MODULES = (design, maps, partitions, evidence, learned)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
