@@ -229,5 +229,5 @@ def edited_neighbours(docs: DataFrame, ranges: int | None = None, id_col: str =
     closing = F.struct(F.get(prior, F.col("b")).alias("b"), F.lit(1).alias("extra"))
     to = F.when(F.col("key") == F.get(head, F.col("b")), F.array(own, closing)).otherwise(F.array(own))
     dealt = placed(rows).select(F.explode(to).alias("to"), "key", "doc_id", "t").select("to.b", "to.extra", "key", "doc_id", "t")
-    ordered = dealt.repartition(size, "b").sortWithinPartitions("b", "extra", "key", "t")
+    ordered = dealt.repartitionById(size, F.col("b")).sortWithinPartitions("b", "extra", "key", "t")
     return ordered.mapInArrow(_edits, RESULT)
