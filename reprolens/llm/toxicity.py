@@ -34,14 +34,16 @@ from ._common import Words, blocks, cut, text_or_empty
 MAX_DOCUMENTS = 3000
 MAX_WORDS = 6000
 MAX_STEMS = 64
-MAX_SUSPECTS = 1000
+MAX_SUSPECTS = 400
 #: Lengths of the beginnings of words that are tried as stems.
 STEMS = (4, 5, 6, 7, 8)
 LANDMARKS = 128
+#: Words of each class that landmarks are chosen from.
+CANDIDATES = 600
 DECAY = 0.7
 #: Longer words are scored as overlapping windows.
 WINDOW, STRIDE = 16, 8
-_SIZE = 28  # letters, other letters, padding
+_SIZE = 27  # letters and one class for all others
 _OTHER = 26
 
 #: Base letters of accented Latin letters, and look-alikes (fixed values).
@@ -135,7 +137,14 @@ def explicit(words: list[str]) -> np.ndarray:
         c = _codes(x)
         # a long training word is represented by all its windows together
         np.add.at(out, (np.repeat(own, c.shape[1]), c.ravel()), np.tile(_TRIPLES[n][1], len(x)))
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    return out
+
+
+def kernel_with(words: list[str], landmarks: np.ndarray, block: int = 256) -> np.ndarray:
+    """Normalised kernel of words with landmarks, a block of words at a time."""
+    parts = [explicit(words[i : i + block]) @ landmarks.T for i in range(0, len(words), block)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(landmarks)), np.float32)
 
 
 @dataclass
@@ -222,23 +231,24 @@ def train_machine(positive: list[str], negative: list[str], cost: float = 1.0) -
     if not positive or not negative:
         return Machine(np.zeros(_SIZE**3, np.float32), -1.0)
     words = positive + negative
-    x = explicit(words)
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-    # landmarks: words farthest from those chosen before, in turns of both classes
+    # landmarks: of some words of either class those farthest from the ones chosen before
+    some = [i for side in (np.flatnonzero(y > 0), np.flatnonzero(y < 0)) for i in side[:: max(1, len(side) // CANDIDATES)][:CANDIDATES].tolist()]
+    x = explicit([words[i] for i in some])
     chosen: list[int] = []
-    near = np.full(len(words), -1.0)
-    for k in range(min(LANDMARKS, len(words))):
-        side = y == (1 if k % 2 == 0 else -1)
-        pool = np.where(side, near, 2.0)
+    near = np.full(len(some), -1.0)
+    for k in range(min(LANDMARKS, len(some))):
+        pool = np.where(y[some] == (1 if k % 2 == 0 else -1), near, 2.0)
         i = int(np.argmin(pool))
         if pool[i] >= 0.999:
             continue
         chosen.append(i)
         near = np.maximum(near, x @ x[i])
-    z = x[chosen]
+    z = x[chosen].copy()
+    del x
     values, vectors = np.linalg.eigh(z.astype(np.float64) @ z.T.astype(np.float64))
     root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
-    f = np.column_stack([(x @ z.T) @ root, np.ones(len(words))])
+    f = np.column_stack([kernel_with(words, z) @ root, np.ones(len(words))])
     weight = np.where(y > 0, 0.5 / len(positive), 0.5 / len(negative)) * len(words) * cost
     ridge = np.eye(f.shape[1])
     ridge[-1, -1] = 1e-3
@@ -253,7 +263,7 @@ def train_machine(positive: list[str], negative: list[str], cost: float = 1.0) -
             break
         w = new
     weights = (z.T @ (root @ w[:-1])).astype(np.float32)
-    return Machine(weights, float(w[-1]), landmarks=tuple(words[i] for i in chosen))
+    return Machine(weights, float(w[-1]), landmarks=tuple(words[some[i]] for i in chosen))
 
 
 def _logistic(evidence: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
