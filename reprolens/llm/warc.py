@@ -168,11 +168,11 @@ def captures(recs: DataFrame) -> DataFrame:
     return made.where("response is not null")
 
 
-def archive_and_read(pages: DataFrame, path: str | None = None, payloads: bool = False) -> DataFrame:
+def archive_and_read(pages: DataFrame, path: str | None = None, payloads: bool = False, codec: str | None = "gzip") -> DataFrame:
     """Write the pages' records under ``path`` (a new folder of the shared one by
     default), read the archives back and assemble their captures."""
     path = path or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    write(records(pages), path)
+    write(records(pages), path, codec=codec)
     return captures(read(pages.sparkSession, path, payloads))
 
 
