@@ -153,7 +153,7 @@ class Machine:
 
     weights: np.ndarray
     offset: float
-    logistic: tuple[float, ...] = (0.0, 4.0, 0.0, 0.0)
+    logistic: tuple[float, ...] = (0.0, 4.0, 0.0, 0.0, 0.0)
     stems: tuple[str, ...] = ()
     landmarks: tuple[str, ...] = ()
 
@@ -194,8 +194,8 @@ def spelled(words: Words) -> tuple[np.ndarray, list[str]]:
 
 
 def document_evidence(texts: pa.Array, machine: Machine) -> np.ndarray:
-    """Per text: the highest margin of its words, and the logs of one plus the number of
-    positive ones and of all words."""
+    """Per text: the highest margin of its words, the log of one plus the number of
+    positive ones, and where there are any, one and the log of one plus all words."""
     w = Words(texts)
     top = np.full(len(w), machine.offset, np.float32)
     hits = np.zeros(len(w))
@@ -209,7 +209,7 @@ def document_evidence(texts: pa.Array, machine: Machine) -> np.ndarray:
             more = machine.margins(joined)
             np.maximum.at(top, owner, more)
             hits += np.bincount(owner, weights=more > 0, minlength=len(w))
-    return np.column_stack([top, np.log1p(hits), np.log1p(w.counts)]).astype(float)
+    return np.column_stack([top, np.log1p(hits), hits > 0, np.where(hits > 0, np.log1p(w.counts), 0)]).astype(float)
 
 
 def variants(word: str, n: int, seed: int) -> list[str]:
@@ -250,6 +250,9 @@ def train_machine(positive: list[str], negative: list[str], cost: float = 1.0) -
     root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
     f = np.column_stack([kernel_with(words, z) @ root, np.ones(len(words))])
     weight = np.where(y > 0, 0.5 / len(positive), 0.5 / len(negative)) * len(words) * cost
+    # a word like no landmark at all is clean: it settles the offset
+    f = np.vstack([f, np.append(np.zeros(f.shape[1] - 1), 1.0)])
+    y, weight = np.append(y, -1.0), np.append(weight, 0.5 * len(words) * cost)
     ridge = np.eye(f.shape[1])
     ridge[-1, -1] = 1e-3
     w = np.zeros(f.shape[1])
@@ -370,11 +373,11 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_
     def judged(batches):
         for b in blocks(batches):
             e = document_evidence(b.column(2), final)
-            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(e[:, i]) for i in range(3))], names=["y", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(e[:, i]) for i in range(4))], names=["y", "a", "b", "c", "d"])
 
-    got = own.mapInArrow(judged, "y int, a double, b double, c double").collect()
+    got = own.mapInArrow(judged, "y int, a double, b double, c double, d double").collect()
     if n_toxic and n_clean:
-        machine.logistic = _logistic(np.array([[r["a"], r["b"], r["c"]] for r in got]), np.array([r["y"] for r in got]))
+        machine.logistic = _logistic(np.array([[r["a"], r["b"], r["c"], r["d"]] for r in got]), np.array([r["y"] for r in got]))
     return machine
 
 
