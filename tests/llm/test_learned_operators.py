@@ -1,0 +1,284 @@
+"""Similarity join, language model, classifiers, secret scan and the pipeline."""
+
+import collections
+import itertools
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from reprolens.llm import graph, jaccard, lm, quality, secret_scan, toxicity
+from reprolens.llm.queries import vocabulary
+
+SF = "/root/testdata/sf0.001"
+
+
+def words(r, n, kinds=400):
+    return " ".join(f"w{r.randrange(kinds)}" for _ in range(n))
+
+
+def frame(spark, texts, ids=None):
+    rows = [(i if ids is None else ids[i], t) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumns({"h": F.lit(1), "n": F.lit("q"), "label": F.lit(0), "t": F.lit("")})
+
+
+def brute_components(texts):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    top = list(range(len(texts)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        same = len(sets[i] & sets[j])
+        if sets[i] and sets[j] and 100 * same >= 80 * len(sets[i] | sets[j]):
+            a, b = sorted((root(i), root(j)))
+            top[b] = a
+    return [(len(s), root(i)) for i, s in enumerate(sets)]
+
+
+def test_jaccard_components(spark):
+    r = random.Random(4)
+    texts = [None, "", "  ", "one", "One", "one two", "a b c d e", "A b c d e"]
+    for _ in range(25):  # chains of near copies, some beyond the limit
+        base = words(r, r.randint(8, 150)).split()
+        for _ in range(r.randint(1, 5)):
+            texts.append(" ".join(base))
+            base = list(base)
+            for _ in range(r.choice([0, 1, 1, 3])):
+                base[r.randrange(len(base))] = f"e{r.randrange(10**6)}"
+    shared = words(r, 60)  # a passage that many documents share
+    texts += [f"{words(r, 20)} {shared} {words(r, r.randint(0, 40))}" for _ in range(25)]
+    texts += [f"{shared} extra{i}" for i in range(40)] + ["copy " * 30] * 40
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    texts = [texts[i] for i in order]
+    got = {g["doc_id"]: (g["n_shingles"], g["component_id"]) for g in jaccard.jaccard_components(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)
+
+
+def test_jaccard_edges(spark):
+    assert jaccard.jaccard_components(frame(spark, ["x"]).limit(0)).count() == 0
+    got = jaccard.jaccard_components(frame(spark, ["a b", "a b", None], [None, 5, 7])).collect()
+    assert sorted((str(g["doc_id"]), g["n_shingles"], str(g["component_id"])) for g in got) == [("5", 1, "5"), ("7", 0, "7"), ("None", 1, "None")]
+    left = jaccard.one_of_each(frame(spark, ["a b", "a b", "", None, "c"], [2, 1, 3, 4, 5]))
+    assert sorted(x["doc_id"] for x in left.collect()) == [1, 3, 4, 5] and "label" in left.columns
+
+
+def test_bounds_hold():
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        pool = np.unique(r.integers(0, 2**63, 400, dtype=np.uint64) * np.uint64(2))
+        x, y = (np.sort(r.choice(pool, int(r.integers(1, 300)), replace=False)) for _ in range(2))
+        same = len(np.intersect1d(x, y))
+        assert same <= jaccard.suffix_bound(x, y)
+        assert same <= jaccard.signature_bound(np.frombuffer(jaccard.signature(x), "<u2"), np.frombuffer(jaccard.signature(y), "<u2"))
+
+
+def test_components_of_a_long_chain(spark):
+    r = random.Random(1)
+    ids = r.sample(range(1000), 40)
+    edges = [(ids[i], ids[i + 1]) for i in range(25)] + [(ids[30], ids[31]), (ids[31], ids[32])]
+    got = {x["node"]: x["label"] for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[i] for i in ids[:26]} == {min(ids[:26])} and got[ids[30]] == min(ids[30:33])
+
+
+@pytest.mark.parametrize("known", [1 << 18, 20])
+def test_lm_scores(spark, monkeypatch, known):
+    monkeypatch.setattr(lm, "KNOWN", known)
+    r = random.Random(6)
+    texts = [None, "", " the  THE\x0bcat ", *[words(r, r.randint(1, 60), 50) + f" rare{i}" for i in range(60)]]
+    got = {g["doc_id"]: g for g in lm.score(frame(spark, texts), vocabulary=8).collect()}
+    tokens = {i: [*(t or "").encode().lower().split(), None] for i, t in enumerate(texts)}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
+    c = collections.Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    total, types = sum(c.values()), len(c)
+    for i, ws in tokens.items():
+        g = got[i]
+        assert (g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == (held[i], len(ws), sum(c[w] > 0 for w in ws), total)
+        assert g["base_score"] == pytest.approx(sum(np.log10((c[w] + 1) / (total + types + 1)) for w in ws))
+        assert g["score"] < 0
+    assert lm.score(frame(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    r = random.Random(7)
+    df = frame(spark, [words(r, 50, 40) for _ in range(40)])
+    model, counts = lm.fit(df, vocabulary=10)
+    assert np.allclose((10.0 ** model.table.astype(float)).sum(1), 1, atol=1e-4)
+    rest = [row["c"] for row in counts.collect() if row["word"] not in model.words.to_pylist()[:10]]
+    assert sum(10 ** model.other(c) for c in [*rest, 0]) == pytest.approx(1)
+
+
+def test_lm_learns_what_follows_what():
+    pairs = np.zeros((6, 6))
+    for i in range(6):
+        pairs[i, (i + 1) % 6] = 100
+    table = lm.train_bilinear(pairs, dimensions=8, steps=300)
+    assert all(np.argmax(table[i]) == (i + 1) % 6 and 10 ** table[i].max() > 0.6 for i in range(6))
+    assert lm.train_bilinear(np.zeros((4, 4))).shape == (4, 4)
+
+
+def test_quality_statistics_and_fit(spark):
+    x = quality.statistics(pa.array([None, "", "a" * 70000, "$$$ ### !!!", "é\n\né"]))
+    assert x.shape == (5, len(quality.NAMES)) and np.isfinite(x).all() and (x[0] == x[1]).all()
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    got = quality.classify(docs, labels).join(labels, "doc_id").collect()
+    right = np.mean([g["predicted"] == g["quality"] for g in got])
+    assert right > 0.9 and all(0 <= g["score"] <= 1 for g in got)
+    nothing = quality.classify(docs, labels.limit(0)).agg(F.min("score"), F.max("score")).first()
+    assert list(nothing) == [0.5, 0.5]
+    assert quality.classify(docs.limit(0), labels).count() == 0
+    _, model = quality.train(docs, labels)
+    kept = quality.keep_good(docs, model)
+    assert kept.columns == docs.columns and kept.count() == quality.classify(docs, labels).where("predicted = 1").count()
+
+
+def test_moments_equal_numpy(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(60, len(quality.NAMES)))
+    y = (np.arange(60) % 3 == 0).astype(int)
+    x[y == 1] += 1
+    df = spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(x, y, strict=True)], "x array<double>, y int")
+    m = quality.fit(df, shrink_pooled=0, shrink_diagonal=0, floor=0)
+    for c in (0, 1):
+        assert np.allclose(m.means[c], x[y == c].mean(0)) and np.allclose(m.factors[c] @ m.factors[c].T, np.cov(x[y == c].T))
+
+
+def test_string_kernel_against_definition():
+    def brute(a, b):
+        def weights(s):
+            out = collections.Counter()
+            for t in itertools.combinations(range(len(s)), 3):
+                out[tuple(s[i] for i in t)] += toxicity.DECAY ** (t[2] - t[0] + 1)
+            return out
+
+        wa, wb = weights(a), weights(b)
+        return sum(wa[k] * wb[k] for k in wa)
+
+    listed = ["idiot", "idxiot", "banana", "worthless"]
+    e = toxicity.explicit(listed)
+    for i, a in enumerate(listed):
+        for j, b in enumerate(listed):
+            assert e[i] @ e[j] == pytest.approx(brute(a, b) / np.sqrt(brute(a, a) * brute(b, b)), abs=1e-4)
+        x = next(iter(toxicity.windows(*toxicity.letters([a])).values()))[1]
+        assert toxicity.own_kernel(x)[0] == pytest.approx(brute(a, a), rel=1e-4)
+    assert toxicity.letters(["I.d-1 ö't"])[0].tolist() == [ord(c) - 97 for c in "idiot"]
+
+
+def test_toxicity(spark):
+    r = random.Random(8)
+    insults = ["moron", "worthless", "stupid"]
+    rows, labels = [], []
+    for i in range(240):
+        t = words(r, 30, 200).replace("w", "lan").translate(str.maketrans("0123456789", "abcdefghij")).split()
+        bad = i % 4 == 0
+        if bad:
+            for _ in range(2):
+                t[r.randrange(len(t))] = r.choice(insults)
+        rows.append((i, " ".join(t)))
+        labels.append((i, 1, int(bad)))
+    df = spark.createDataFrame([*rows, (1000, None), (1001, "")], "doc_id long, text string").withColumn("m", F.lit(1))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    machine = toxicity.train(df, lab)
+    assert set(machine.stems) == set(insults)
+    got = {g["doc_id"]: g for g in toxicity.score(df, machine).collect()}
+    assert np.mean([got[i]["predicted"] == y for i, _, y in labels]) > 0.98
+    assert got[1000]["predicted"] == got[1001]["predicted"] == 0 and got[1000]["score"] == got[1001]["score"]
+    p = machine.margins(["m.o.r.o.n", "MORON!", "mor0n", "moxron", "st*upid", "lanabc", "x"])
+    assert (p[:5] > 0.5).all() and (p[5:] < 0).all()
+    spelled = toxicity.document_evidence(pa.array(["lanab s t u p i d lanaa", "a b c d e"]), machine)
+    assert spelled[0, 0] > 1 and spelled[1, 0] < 0
+    assert toxicity.score(df.limit(0), machine).count() == 0
+    assert toxicity.classify(df, lab.limit(0)).where("predicted = 1").count() == 0
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secret_scan.train(spark)
+
+
+def test_secret_scan(spark, forest):
+    rows = secret_scan.labelled_findings(600, seed=77)
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    found = secret_scan.scan(df, forest).collect()
+    best = collections.defaultdict(float)
+    for g in found:
+        best[g["doc_id"]] = max(best[g["doc_id"]], g["score"])
+        assert g["start"] + g["length"] <= len(rows[g["doc_id"]][0])
+    assert np.mean([(best[i] >= 0.5) == bool(y) for i, (_, y) in enumerate(rows)]) > 0.97
+
+
+def test_forest_expression_equals_its_trees(spark, forest):
+    r = np.random.default_rng(1)
+    x = r.uniform(0, 1, (50, len(secret_scan.FEATURES))) * np.array([40] + [1] * (len(secret_scan.FEATURES) - 1))
+    df = spark.createDataFrame([tuple(map(float, v)) for v in x], ", ".join(f"{n} double" for n in secret_scan.FEATURES))
+    got = [g[0] for g in df.select(F.struct(*secret_scan.FEATURES).alias("f")).select(forest.expression(F.col("f"))).collect()]
+    assert np.allclose(got, forest.predict(x))
+
+
+def test_spans_and_redaction(spark, forest):
+    key = "AKIA" + "SJDZWJNP6ZRYWK44"
+    texts = [f"é {key} and password=b7db7aa4a5fcc78305.", None, "", "plain words 4111111111111111", f"{key} " * 500]
+    df = spark.createDataFrame([(i, t, 5, "k") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, _values string")
+    found = secret_scan.scan(df, forest).where("is_secret").collect()
+    assert {texts[g["doc_id"]][g["start"] : g["start"] + g["length"]] for g in found if g["doc_id"] == 0} == {key, "b7db7aa4a5fcc78305."} or {
+        texts[0][g["start"] : g["start"] + g["length"]].rstrip(".") for g in found if g["doc_id"] == 0
+    } == {key, "b7db7aa4a5fcc78305"}
+    assert sum(g["doc_id"] == 4 for g in found) == 500
+    out = {g["doc_id"]: g for g in secret_scan.redact(df, forest).collect()}
+    assert key not in out[0]["text"] and out[0]["text"].startswith("é <SECRET> and password=<SECRET>") and out[0]["n_chars"] == len(out[0]["text"])
+    assert out[1]["text"] is None and out[2]["text"] == "" and out[3]["text"] == texts[3] and out[3]["n_chars"] == 5 and out[3]["_values"] == "k"
+    assert secret_scan.scan(df.limit(0), forest).count() == 0 and secret_scan.redact(df.limit(0), forest).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = docs.columns
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "n-gram Jaccard join", "secret scans", "best-fit packing"]
+    left = docs
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        now = spark.createDataFrame(stage(spark, left, SF).collect(), docs.schema)
+        assert now.columns == names
+        if i == 1:
+            assert now.count() == left.select("text").distinct().count()
+        if i == 2:
+            before = [r["text"] for r in left.orderBy("doc_id").collect()]
+            assert now.count() == len({c for _, c in brute_components(before)} | {j for j, (n, _) in enumerate(brute_components(before)) if not n})
+        if i == 3:
+            assert now.count() == left.count()
+        left = now
+    packed = corpus_pipeline.STAGES[4][1](spark, left, SF).toPandas()
+    assert set(packed.doc_id) == {r["doc_id"] for r in left.collect()}
+    assert packed.groupby("sequence_id").length.sum().max() <= 4096
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    total = sum(len(tok.encode(r["text"], add_special_tokens=False).ids) + 1 for r in left.collect())
+    assert packed.length.sum() == total
+
+
+def test_queries_against_sql(spark):
+    import duckdb
+
+    from reprolens.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    for name, sql in queries.ORACLE.items():
+        df = queries.QUERIES[name](spark, SF)
+        c = con.execute(sql)
+        cols = [x[0] for x in c.description]
+        want = sorted(map(str, c.fetchall()))
+        assert sorted(str(tuple(r[x] for x in cols)) for r in df.collect()) == want, name
