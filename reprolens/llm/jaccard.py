@@ -27,9 +27,11 @@ from .graph import components, join_by_size
 HEAVY = 1 << 17
 #: A task reports the shingles that so many of a chunk of its documents share.
 HEAVY_LOCAL = 4
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Sub-buckets of a prefix shingle that over 1/2000 of all documents have.
 SALTS = 64
+#: Up to so many identifiers (8 MB) are broadcast to find their texts.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, k: int = 5) -> list[np.ndarray]:
@@ -132,9 +134,10 @@ def _prefixes(docs: DataFrame, heavy: np.ndarray, hot: np.ndarray, k: int, share
 
 
 def _may_link(na: Column, pa_: Column, nb: Column, pb: Column, share: int) -> Column:
-    """Length filter, and the positional filter at one common prefix shingle."""
+    """Length filter, and the positional filter as if this were the first shingle in
+    common: for a pair that links it is at the one that really is."""
     both = na.cast("long") + nb.cast("long")
-    overlap = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
+    overlap = 1 + F.least(na - pa_ - 1, nb - pb - 1)
     return (100 * F.least(na, nb) >= share * F.greatest(na, nb)) & (overlap * (100 + share) >= share * both)
 
 
@@ -148,12 +151,67 @@ def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
     return suffix_bound(x[:mid], y[:at], depth - 1) + suffix_bound(x[mid:], y[at:], depth - 1)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The pairs (a, b) that reach the similarity, each verified once."""
+def signature(s: np.ndarray) -> bytes:
+    """Counts of a set's elements by their top bits, one or two elements to a bucket: an
+    eighth of the set's own bytes."""
+    bits = max(0, len(s).bit_length() - 1)
+    if not bits:
+        return bytes([len(s)])
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
-    def of(batches):
+
+def signature_bound(x: np.ndarray, y: np.ndarray) -> int:
+    """At most so many common elements of the sets with these signatures."""
+    if max(x.max(initial=0), y.max(initial=0)) == 255:
+        return 1 << 62
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    while len(x) > len(y):
+        x = x.reshape(-1, 2).sum(1)
+    while len(y) > len(x):
+        y = y.reshape(-1, 2).sum(1)
+    return int(np.minimum(x, y).sum())
+
+
+def _of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts of the documents of some pairs (a, b)."""
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    # few identifiers go to the texts; many and the texts are shuffled
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return rows.join(ids, "doc_id", "left_semi")
+
+
+def _verify(pairs: DataFrame, rows: DataFrame, k: int, share: int) -> DataFrame:
+    """The pairs (a, b) that reach the similarity: bounded by signatures and by the
+    suffix filter, then each verified once on the whole sets.
+
+    Only signatures are kept of all documents of the pairs; sets are made again for
+    those whose pairs are left."""
+
+    def signed(batches):
+        for b in blocks(batches):
+            made = shingle_sets(b.column(1), k)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(s) for s in made], pa.int64()), pa.array([signature(s) for s in made], pa.binary())], names=["doc_id", "n", "sig"]
+            )
+
+    def whole_sets(batches):
+        for b in blocks(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), k)], pa.binary())], names=["doc_id", "s"])
+
+    signatures = cut(_of_pairs(rows, pairs).mapInArrow(signed, "doc_id long, n long, sig binary"))
+
+    def bounded(batches):
+        for b in batches:
+            na, nb, sa, sb = (b.column(i) for i in range(2, 6))
+            total = na.to_numpy() + nb.to_numpy()
+            top = np.fromiter(
+                (signature_bound(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) for x, y in zip(sa, sb, strict=True)), np.float64, b.num_rows
+            )
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(top * (100 + share) >= share * total))
+
+    def exact(batches):
         for b in batches:
-            ids, left, right = b.column(0), b.column(2), b.column(3)
+            left, right = b.column(2), b.column(3)
             keep = np.zeros(b.num_rows, bool)
             for i in range(b.num_rows):
                 x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
@@ -162,11 +220,14 @@ def _verify(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
                     continue
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = 100 * same >= share * (total - same)
-            yield pa.RecordBatch.from_arrays([ids, b.column(1)], names=["a", "b"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    right = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    both = right.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
-    return both.select("a", "b", "sa", "sb").mapInArrow(of, "a long, b long")
+    small = lambda c: signatures.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
+    likely = pairs.join(small("b"), "b").join(small("a"), "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bounded, "a long, b long")
+    likely = cut(likely)
+    sets = _of_pairs(rows, likely).mapInArrow(whole_sets, "doc_id long, s binary")
+    whole = lambda c: sets.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}"))
+    return likely.join(whole("b"), "b").join(whole("a"), "a").select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,16 +257,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, share: int = 80, id_col: str
     sizes = met.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc_id", "n", "pos")).alias("first"))
     sizes = cut(sizes.where("size > 1"))
     met_rows = met.count()
-    inside = cut(join_by_size(met, sizes, ["h"], "size", met_rows))
-
-    involved = inside.select("doc_id").distinct()
-
-    def to_sets(batches):
-        for b in blocks(batches):
-            s = [x.tobytes() for x in shingle_sets(b.column(1), k)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], names=["doc_id", "s"])
-
-    sets = cut(rows.join(involved, "doc_id", "left_semi").mapInArrow(to_sets, "doc_id long, s binary"))
+    inside = join_by_size(met, sizes, ["h"], "size", met_rows)
 
     star = (
         inside.where(F.col("doc_id") != F.col("first.doc_id"))
@@ -214,14 +266,39 @@ def jaccard_components(docs: DataFrame, k: int = 5, share: int = 80, id_col: str
         .distinct()
     )
     star = cut(star)
-    links = cut(_verify(star, sets, share))
+    links = cut(_verify(star, rows, k, share))
     label = components(links)
 
-    # what the stars left apart
-    placed = inside.select("h", "doc_id", "n", "pos").join(label.toDF("doc_id", "label"), "doc_id", "left")
-    placed = placed.withColumn("label", F.coalesce("label", "doc_id"))
-    apart = placed.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
-    placed = cut(placed.join(apart, "h", "left_semi"))
+    def place(label: DataFrame) -> DataFrame:
+        """Shared prefix shingles whose documents are in more than one component."""
+        out = inside.select("h", "doc_id", "n", "pos").join(label.toDF("doc_id", "label"), "doc_id", "left")
+        out = out.withColumn("label", F.coalesce("label", "doc_id"))
+        apart = out.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
+        return cut(out.join(apart, "h", "left_semi"))
+
+    # what the stars left apart is first compared with some member of the largest
+    # component at each shingle, so that stragglers of a large group join it
+    placed = place(label)
+    tally = placed.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct("doc_id", "n", "pos"), F.xxhash64("doc_id", "h")).alias("some"))
+    largest = tally.groupBy("h").agg(F.max_by(F.struct("label", "some"), F.struct("c", "label")).alias("big"), F.sum("c").alias("size"))
+    close = (
+        join_by_size(placed, largest, ["h"], "size", met_rows)
+        .where(F.col("label") != F.col("big.label"))
+        .where(_may_link(F.col("n"), F.col("pos"), F.col("big.some.n"), F.col("big.some.pos"), share))
+        .select(F.least("doc_id", "big.some.doc_id").alias("a"), F.greatest("doc_id", "big.some.doc_id").alias("b"))
+        .distinct()
+        .join(star, ["a", "b"], "left_anti")
+    )
+    close = cut(close)
+    if close.limit(1).count():
+        found = cut(_verify(close, rows, k, share))
+        if found.limit(1).count():
+            links = cut(links.unionByName(found))
+            label = components(links)
+            placed = place(label)
+    star = star.unionByName(close)
+
+    # then all that are still in different components
     a, b = placed.alias("a"), placed.alias("b")
     cross = (
         a.join(b, F.col("a.h") == F.col("b.h"))
@@ -231,9 +308,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, share: int = 80, id_col: str
         .distinct()
         .join(star, ["a", "b"], "left_anti")
     )
-    more = cut(_verify(cross, sets, share))
-    if more.limit(1).count():
-        label = components(links.unionByName(more))
+    cross = cut(cross)
+    if cross.limit(1).count():
+        more = cut(_verify(cross, rows, k, share))
+        if more.limit(1).count():
+            label = components(links.unionByName(more))
 
     # class -> smallest id of its component, then every row by its class
     classes = classes.join(label.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
@@ -251,5 +330,6 @@ def one_of_each(docs: DataFrame, k: int = 5, share: int = 80, id_col: str = "doc
     Rows with a null identifier stay.
     """
     found = cut(jaccard_components(docs, k, share, id_col, text_col))
-    gone = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
+    gone = cut(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")

@@ -80,7 +80,7 @@ def test_bounds_hold():
         x, y = (np.sort(r.choice(pool, int(r.integers(1, 300)), replace=False)) for _ in range(2))
         same = len(np.intersect1d(x, y))
         assert same <= jaccard.suffix_bound(x, y)
-        assert same <= jaccard.signature_bound(np.frombuffer(jaccard.signature(x), "<u2"), np.frombuffer(jaccard.signature(y), "<u2"))
+        assert same <= jaccard.signature_bound(np.frombuffer(jaccard.signature(x), np.uint8), np.frombuffer(jaccard.signature(y), np.uint8))
 
 
 def test_components_of_a_long_chain(spark):
