@@ -21,23 +21,25 @@ def join_by_size(left: DataFrame, right: DataFrame, on: list[str], size: str, to
     return left.join(hot, on).unionByName(left.join(hot.select(*on), on, "left_anti").join(cold, on))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node of each node's component, for edges (a, b).
 
-    Each round takes the smallest label among neighbours and then the label of the
-    label, so the rounds grow with the logarithm of the longest chain. Labels are
-    aggregated map-side before each shuffle; a round's result is cut.
+    Each round a node takes the smallest label of a neighbour's label, gives it to the
+    node that its own label names too (so whole trees are hooked), and follows its label
+    one step. Rounds grow with the logarithm of the longest chain and go on until no
+    label moves. Labels are aggregated map-side before each shuffle; a round's result
+    is cut.
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct())
     labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
-    for _ in range(rounds):
-        near = both.join(labels.toDF("other", "near"), "other").groupBy("node").agg(F.min("near").alias("near"))
-        step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
-        far = labels.toDF("new", "far")
-        step = step.join(far, "new").select("node", F.least("new", "far").alias("next"), "label")
-        step = cut(step)
+    while True:
+        far = labels.toDF("label", "far")
+        step = cut(labels.join(far, "label").select("node", "label", "far"))
+        near = both.join(step.select(F.col("node").alias("other"), F.col("far").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
+        near = step.join(near, "node").select("node", "label", F.least("far", "near").alias("new"))
+        offers = near.select("node", "label", "new").unionByName(near.select(F.col("label").alias("node"), F.lit(None).cast(both.schema["node"].dataType).alias("label"), "new"))
+        step = cut(offers.groupBy("node").agg(F.max("label").alias("label"), F.min("new").alias("next")))
         moved = step.where(F.col("next") < F.col("label")).limit(1).count()
         labels = step.select("node", F.col("next").alias("label"))
         if not moved:
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

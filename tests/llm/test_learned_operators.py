@@ -91,6 +91,16 @@ def test_components_of_a_long_chain(spark):
     assert {got[i] for i in ids[:26]} == {min(ids[:26])} and got[ids[30]] == min(ids[30:33])
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_components_of_a_chain_of_hundreds(spark, shuffled):
+    ids = [*range(1, 400), 0]  # the least id at the far end
+    if shuffled:
+        random.Random(2).shuffle(ids)
+    edges = [*zip(ids[:-1], ids[1:], strict=True), (900, 901)]
+    got = {x["node"]: x["label"] for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(ids, 0), 900: 900, 901: 900}
+
+
 @pytest.mark.parametrize("known", [1 << 18, 20])
 def test_lm_scores(spark, monkeypatch, known):
     monkeypatch.setattr(lm, "KNOWN", known)
