@@ -18,7 +18,9 @@ become a probability by a logistic fitted on documents.
 
 from __future__ import annotations
 
+import heapq
 import itertools
+import math
 import random
 from dataclasses import dataclass
 
@@ -30,11 +32,12 @@ from pyspark.sql import functions as F
 
 from ._common import Words, blocks, cut, text_or_empty
 
-#: Most labelled documents of each class, and most words, that training looks at.
+#: Most labelled documents of each class that training looks at, and three times the most
+#: words of each kind (common, spread and hard ones) from clean documents.
 MAX_DOCUMENTS = 3000
 MAX_WORDS = 6000
-MAX_STEMS = 64
-MAX_SUSPECTS = 400
+#: Stems expected by chance among all that are tried.
+CHANCE = 0.05
 #: Lengths of the beginnings of words that are tried as stems.
 STEMS = (4, 5, 6, 7, 8)
 LANDMARKS = 128
@@ -286,24 +289,42 @@ def _logistic(evidence: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(w.tolist())
 
 
-def _cover(found: list, n_toxic: int, n_clean: int) -> list[str]:
+def _chance(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
+    """Probability that of toxic + clean random documents so many or more are toxic."""
+    n, p = toxic + clean, (n_toxic + 1) / (n_toxic + n_clean + 2)
+    return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(toxic, n + 1))
+
+
+def _cover(found: list, n_toxic: int, n_clean: int, tests: int = 1) -> list[str]:
     """Stems that explain the toxic documents: in turn the one (the longest of equals)
-    in most documents that none chosen before is in. Then those which, though others
-    stand beside them, are in one of 25 toxic documents and hardly in any clean one."""
-    sets = [(r["stem"], set(r["docs"]), r["clean"]) for r in found]
-    left = set().union(*(d for _, d, _ in sets)) if sets else set()
+    in most documents that none chosen before is in, while these are 1% of the toxic
+    ones, or any and the stem's own counts hardly come by chance among ``tests`` words.
+    Then those which, though others stand beside them, are in one of 25 toxic documents
+    and hardly in any clean one."""
+    sets = {r["stem"]: (set(r["docs"]), r["clean"]) for r in found}
+    left = set().union(*(d for d, _ in sets.values()))
     chosen: list[str] = []
-    while sets and len(chosen) < MAX_STEMS:
-        stem, docs, _ = max(sets, key=lambda g: (len(g[1] & left), len(g[0]), g[0]))
-        if len(docs & left) < max(3, 0.01 * n_toxic):
+    apart = lambda stem: not any(stem.startswith(c) or c.startswith(stem) for c in chosen)
+    # keys only fall as documents are explained, so one that is still the highest is right
+    keys = [(-len(d), -len(stem), tuple(-ord(ch) for ch in stem), stem) for stem, (d, _) in sets.items()]
+    heapq.heapify(keys)
+    while keys:
+        old, *rest, stem = heapq.heappop(keys)
+        docs, clean = sets[stem]
+        gain = len(docs & left)
+        if gain != -old:
+            heapq.heappush(keys, (-gain, *rest, stem))
+            continue
+        if not gain:
             break
-        chosen.append(stem)
-        left -= docs
-    for stem, docs, clean in sorted(sets, key=lambda g: (-len(g[1]), -len(g[0]), g[0])):
+        if gain >= max(3, 0.01 * n_toxic) or (apart(stem) and tests * _chance(len(docs), clean, n_toxic, n_clean) <= CHANCE):
+            chosen.append(stem)
+            left -= docs
+    for stem, (docs, clean) in sorted(sets.items(), key=lambda g: (-len(g[1][0]), -len(g[0]), g[0])):
         strong = len(docs) * (n_clean + 1) >= 20 * (clean + 0.3) * (n_toxic + 1)
-        if strong and len(docs) >= max(5, 0.04 * n_toxic) and not any(stem.startswith(c) or c.startswith(stem) for c in chosen):
+        if strong and len(docs) >= max(5, 0.04 * n_toxic) and apart(stem):
             chosen.append(stem)
-    return chosen[:MAX_STEMS]
+    return chosen
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> Machine:
@@ -342,15 +363,13 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_
     seen = own.mapInArrow(words_of, "id long, y int, word string, whole boolean")
     counts = cut(seen.groupBy("word", "whole").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean")))
     rare = (F.col("toxic") >= 3) & (F.col("toxic") * (n_clean + 1) >= 5 * (F.col("clean") + 0.3) * (n_toxic + 1))
-    suspects = counts.where(rare).groupBy("word").agg(F.max("toxic").alias("toxic"), F.max("clean").alias("clean")).orderBy(F.desc("toxic"), F.desc(F.length("word")), "word").limit(MAX_SUSPECTS)
-    # at most MAX_SUSPECTS lists of at most MAX_DOCUMENTS identifiers
-    found = seen.where("y = 1").join(F.broadcast(suspects), "word").groupBy(F.col("word").alias("stem"), "clean").agg(F.collect_set("id").alias("docs")).collect()
-    stems = _cover(sorted(found, key=lambda r: r["stem"]), n_toxic, n_clean)
-    begins = F.lit(False)
-    for stem in stems:
-        begins = begins | F.col("word").startswith(stem)
+    suspects = counts.where(rare).groupBy("word").agg(F.max("toxic").alias("toxic"), F.max("clean").alias("clean"))
+    # words of at most MAX_DOCUMENTS documents, lists of at most so many identifiers
+    found = seen.where("y = 1").join(suspects, "word").groupBy(F.col("word").alias("stem"), "clean").agg(F.collect_set("id").alias("docs")).collect()
+    stems = _cover(sorted(found, key=lambda r: r["stem"]), n_toxic, n_clean, counts.where("toxic + clean >= 3").count())
+    begins = F.col("word").rlike("^(" + "|".join(stems) + ")") if stems else F.lit(False)
     words = counts.where("whole")
-    frequent = words.where(begins & (F.col("toxic") > 0)).orderBy(F.desc("toxic"), "word").limit(MAX_WORDS // 6).collect() if stems else []
+    frequent = words.where(begins & (F.col("toxic") > 0)).orderBy(F.desc("toxic"), "word").collect() if stems else []
     positive = [v for w in stems for v in variants(w, 24, 1)] + [v for r in frequent for v in variants(r["word"], 1, 2)]
     ordinary = words.where(~begins & (F.col("clean") > 0))
     common = [r["word"] for r in ordinary.orderBy(F.desc("clean"), "word").limit(MAX_WORDS // 3).collect()]

@@ -211,6 +211,18 @@ def test_toxicity(spark):
     assert toxicity.classify(df, lab.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_of_rare_insults(spark):
+    r = random.Random(4)
+    many = ["".join(r.choices("abcdefgh", k=9)) for _ in range(430)]
+    texts = [" ".join(many)] * 40 + [words(r, 20, 40) + " zorblat"] * 20 + [words(r, 20, 40) for _ in range(200)]
+    lab = spark.createDataFrame([(i, 0, int(i < 60)) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    assert any("zorblat".startswith(s) for s in toxicity.train(frame(spark, texts), lab).stems)
+    # more stems than any cap, and one in under 1% of the toxic documents
+    found = [{"stem": f"s{i:03d}x", "docs": range(25 * i, 25 * i + 25), "clean": 0} for i in range(79)]
+    found.append({"stem": "rarest", "docs": range(1980, 1995), "clean": 0})
+    assert set(toxicity._cover(found, 2000, 3000)) == {f["stem"] for f in found}
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     return secret_scan.train(spark)
