@@ -47,6 +47,44 @@ def linkage(d: np.ndarray, method: str) -> list[tuple[int, int, float]]:
     return merges
 
 
+def ward_chain(x: np.ndarray) -> list[tuple[int, int, float]]:
+    """``linkage(euclidean(x), "ward")`` by nearest-neighbour chains on centres and sizes:
+    memory for the rows instead of their distances. Merges are sorted by height; at
+    equal heights their order may differ."""
+    n = len(x)
+    centre, size, alive, height = x.astype(float).copy(), np.ones(n), np.ones(n, bool), np.zeros(n)
+    chain: list[int] = []
+    found: list[tuple[float, int, int]] = []
+    for _ in range(n - 1):
+        if not chain:
+            chain = [int(np.argmax(alive))]
+        while True:
+            i = chain[-1]
+            d = 2 * size * size[i] / (size + size[i]) * ((centre - centre[i]) ** 2).sum(1)
+            d[~alive] = np.inf
+            d[i] = np.inf
+            j = int(np.argmin(d))
+            # of equals the one before in the chain, or it would not end
+            if len(chain) > 1 and d[chain[-2]] <= d[j]:
+                j = chain[-2]
+                h = float(d[j])
+                break
+            chain.append(j)
+        chain = chain[:-2]
+        i, j = min(i, j), max(i, j)
+        # rounding must not put a merge before those inside it
+        height[i] = max(h, height[i], height[j])
+        found.append((float(height[i]), i, j))
+        centre[i] = (size[i] * centre[i] + size[j] * centre[j]) / (size[i] + size[j])
+        size[i] += size[j]
+        alive[j] = False
+    ids, merges = list(range(n)), []
+    for step, (h, i, j) in enumerate(sorted(found, key=lambda m: m[0])):
+        merges.append((ids[i], ids[j], math.sqrt(h)))
+        ids[i] = n + step
+    return merges
+
+
 def cut_tree(merges: list[tuple[int, int, float]], n: int, k: int) -> np.ndarray:
     """Labels of k clusters, numbered by first appearance."""
     parent = list(range(2 * n))

@@ -16,8 +16,8 @@ from .preprocess import Preprocess
 from .train import MAX_BYTES, _moments, _transform
 
 METHODS = ("kmeans", "ward", "gmm")
-#: Ward on rows keeps all distances of a split in one task.
-MAX_WARD_ROWS = 3000
+#: Ward keeps all distances of a split up to so many rows; beyond, rows only.
+WARD_DISTANCES = 3000
 
 RECORD = "split_id string, method string, k int, seed long, task_id string, sample_id string, role string, label int, detail string, error string"
 
@@ -65,9 +65,7 @@ def fit_references(data: Dataset, splits: DataFrame, ks: list[int], methods: tup
                         if job.method == "kmeans":
                             label, _ = kernels.kmeans(own, k, seed, starts)
                         elif job.method == "ward":
-                            if len(own) > MAX_WARD_ROWS:
-                                raise ValueError(f"Ward is limited to {MAX_WARD_ROWS} rows")
-                            tree = tree or kernels.linkage(kernels.euclidean(own), "ward")
+                            tree = tree or (kernels.linkage(kernels.euclidean(own), "ward") if len(own) <= WARD_DISTANCES else kernels.ward_chain(own))
                             label = kernels.cut_tree(tree, len(own), k)
                         else:
                             label, model, bic = kernels.gaussian_mixture(own, k, seed)

@@ -93,3 +93,14 @@ def test_kmeans_gmm_and_maps():
     assert np.array_equal(a, kernels.train_map([x], [1.0], d, 10, 5)[0])
     assert kernels.map_distance([x], [a], [1.0]).min(1).mean() < x.var(0).sum()
     assert kernels.sample_seed(1, "ab") == 1 + ord("a") * 2 + ord("b") * 3 + 1
+
+
+def test_ward_without_distances():
+    r = np.random.default_rng(1)
+    for n in (2, 5, 60, 300):
+        x = r.normal(size=(n, 3))
+        full, chain = kernels.linkage(kernels.euclidean(x), "ward"), kernels.ward_chain(x)
+        assert np.allclose([m[2] for m in full], [m[2] for m in chain])
+        for k in range(1, min(n, 6)):
+            assert (kernels.cut_tree(full, n, k) == kernels.cut_tree(chain, n, k)).all()
+    assert kernels.cut_tree(kernels.ward_chain(np.repeat(r.normal(size=(20, 3)), 5, 0)), 100, 3).max() == 3

@@ -266,3 +266,12 @@ def test_streamed_mapping_equals_batch(spark, tmp_path):
     q.awaitTermination(60)
     batch = mapping.map_rows(rows, code, {"data": ("a",)})
     assert spark.read.parquet(str(tmp_path / "out")).exceptAll(batch).count() == 0
+
+
+def test_reference_query_reads_its_tables(spark):
+    from reprolens.plans import learned
+
+    got = learned.reference_models(spark, "/root/testdata/sf0.001")
+    customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
+    sizes = {r["task_id"]: r["n"] for r in got.groupBy("task_id").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert set(sizes.values()) == {customers}
