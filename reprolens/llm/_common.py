@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of one run, written as Parquet under the shared folder. Each can be deleted
+    as soon as its successors stand; those that a lazy result still reads stay."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.paths: dict[str, str] = {}
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` written and read again; a table kept before under the name is deleted then."""
+        old, self.made = self.paths.get(name), self.made + 1
+        self.paths[name] = path = f"{self.base}/{self.made}-{name}"
+        df.write.parquet(path)
+        if old:
+            remove(self.spark, old)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                remove(self.spark, self.paths.pop(name))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever store it is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

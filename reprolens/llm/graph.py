@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import Scratch
 
 
 def join_by_size(left: DataFrame, right: DataFrame, on: list[str], size: str, total: int, most: int = 2000) -> DataFrame:
@@ -27,19 +27,27 @@ def components(edges: DataFrame) -> DataFrame:
     Each round a node takes the smallest label of a neighbour's label, gives it to the
     node that its own label names too (so whole trees are hooked), and follows its label
     one step. Rounds grow with the logarithm of the longest chain and go on until no
-    label moves. Labels are aggregated map-side before each shuffle; a round's result
-    is cut.
+    label moves. Labels are aggregated map-side before each shuffle, and what a hub or the
+    label of a large component meets is joined by size. A round's tables are deleted
+    when the next one's stand.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct())
-    labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
+    own = Scratch(edges.sparkSession, "components")
+    both = own.keep("both", edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct())
+    # edges that end in a node are as many as those that begin there
+    degree = own.keep("degree", both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label"), F.count(F.lit(1)).alias("degree")))
+    labels = degree.select("node", "label", "degree")
+    ends, nodes = both.count(), degree.count()
     while True:
-        far = labels.toDF("label", "far")
-        step = cut(labels.join(far, "label").select("node", "label", "far"))
-        near = both.join(step.select(F.col("node").alias("other"), F.col("far").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
-        near = step.join(near, "node").select("node", "label", F.least("far", "near").alias("new"))
-        offers = near.select("node", "label", "new").unionByName(near.select(F.col("label").alias("node"), F.lit(None).cast(both.schema["node"].dataType).alias("label"), "new"))
-        step = cut(offers.groupBy("node").agg(F.max("label").alias("label"), F.min("new").alias("next")))
-        moved = step.where(F.col("next") < F.col("label")).limit(1).count()
-        labels = step.select("node", F.col("next").alias("label"))
-        if not moved:
-            return labels
+        sizes = labels.groupBy(F.col("label").alias("node")).agg(F.count(F.lit(1)).alias("size"))
+        far = labels.join(sizes, "node").select(F.col("node").alias("label"), F.col("label").alias("far"), "size")
+        step = own.keep("step", join_by_size(labels, far, ["label"], "size", nodes).select("node", "label", "far", "degree"))
+        near = join_by_size(both, step.select(F.col("node").alias("other"), F.col("far").alias("near"), "degree"), ["other"], "degree", ends)
+        near = near.groupBy("node").agg(F.min("near").alias("near"))
+        near = step.join(near, "node").select("node", "label", "degree", F.least("far", "near").alias("new"))
+        none = lambda c: F.lit(None).cast(step.schema[c].dataType).alias(c)
+        offers = near.unionByName(near.select(F.col("label").alias("node"), none("label"), none("degree"), "new"))
+        moved = own.keep("moved", offers.groupBy("node").agg(F.max("label").alias("label"), F.max("degree").alias("degree"), F.min("new").alias("next")))
+        labels = moved.select("node", F.col("next").alias("label"), "degree")
+        if not moved.where(F.col("next") < F.col("label")).limit(1).count():
+            own.drop("both", "degree", "step")
+            return labels.drop("degree")

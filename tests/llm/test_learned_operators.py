@@ -65,6 +65,43 @@ def test_jaccard_components(spark):
     assert [got[i] for i in range(len(texts))] == brute_components(texts)
 
 
+def brute_sets(texts):
+    out = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        out.append(frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset())
+    return out
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_jaccard_pairs_lose_no_link(spark, monkeypatch, few):
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", few)
+    r = random.Random(9)
+    base = words(r, 60).split()
+    texts = [None, "", "a b", "A  b"]
+    for i in range(90):  # a group of near copies in which nearly all pairs link
+        own = list(base)
+        own[i % 60] = f"e{i % 7}"
+        texts.append(" ".join(own))
+    texts += [words(r, 30) for _ in range(20)]
+    links, rows = jaccard.jaccard_pairs(frame(spark, texts))
+    sets = brute_sets(texts)
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(s, i)
+    want = {}
+    for (x, i), (y, j) in itertools.combinations(first.items(), 2):
+        if x and y and 100 * len(x & y) >= 80 * len(x | y):
+            want[i, j] = (len(x & y), len(x & y) / len(x | y))
+    assert {(g["a"], g["b"]): (g["same"], pytest.approx(g["jaccard"])) for g in links.collect()} == want and len(want) > 400
+    assert {g["doc_id"]: (g["n_shingles"], g["class_id"]) for g in rows.collect()} == {i: (len(s), first[s] if s else None) for i, s in enumerate(sets)}
+    none, no_rows = jaccard.jaccard_pairs(frame(spark, ["x"]).limit(0))
+    assert none.count() == 0 and no_rows.count() == 0
+    assert [(g["doc_id"], g["n_shingles"], g["component_id"]) for g in jaccard.jaccard_components(frame(spark, texts)).orderBy("doc_id").collect()] == [
+        (i, *c) for i, c in enumerate(brute_components(texts))
+    ]
+
+
 def test_jaccard_edges(spark):
     assert jaccard.jaccard_components(frame(spark, ["x"]).limit(0)).count() == 0
     got = jaccard.jaccard_components(frame(spark, ["a b", "a b", None], [None, 5, 7])).collect()
@@ -80,7 +117,8 @@ def test_bounds_hold():
         x, y = (np.sort(r.choice(pool, int(r.integers(1, 300)), replace=False)) for _ in range(2))
         same = len(np.intersect1d(x, y))
         assert same <= jaccard.suffix_bound(x, y)
-        assert same <= jaccard.signature_bound(np.frombuffer(jaccard.signature(x), np.uint8), np.frombuffer(jaccard.signature(y), np.uint8))
+        for of in (jaccard.coarse, jaccard.signature):
+            assert same <= jaccard.signature_bound(np.frombuffer(of(x), np.uint8), np.frombuffer(of(y), np.uint8))
 
 
 def test_components_of_a_long_chain(spark):
