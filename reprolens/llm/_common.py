@@ -76,6 +76,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def least_count(counts: DataFrame, column: str, most: int) -> int:
+    """The smallest count that at most ``most`` rows reach, from a histogram of at most
+    some thousand classes: counts to 1,000 by themselves, larger ones by 1/32 of a doubling."""
+    c = F.col(column).cast("double")
+    group = F.when(c <= 1000, c).otherwise(1000 + F.floor(F.log2(c) * 32))
+    total, least = 0, 1 << 62
+    for r in counts.groupBy(group.alias("g")).agg(F.min(column).alias("low"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("low")).collect():
+        total += r["n"]
+        if total > most:
+            break
+        least = r["low"]
+    return least
+
+
 class Words:
     """Words of a batch of texts: ``codes`` index ``vocab``; text i owns
     ``codes[starts[i]:starts[i + 1]]``. Words are maximal runs of bytes other

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch
 
+#: Rows of one join key that a task takes as they are (some 30 MB).
+ONE_TASK = 1_000_000
+
 
 def join_by_size(left: DataFrame, right: DataFrame, on: list[str], size: str, total: int, most: int = 2000) -> DataFrame:
     """Inner join with ``right``, unique on ``on``, whose column ``size`` says how many
@@ -27,9 +30,9 @@ def components(edges: DataFrame) -> DataFrame:
     Each round a node takes the smallest label of a neighbour's label, gives it to the
     node that its own label names too (so whole trees are hooked), and follows its label
     one step. Rounds grow with the logarithm of the longest chain and go on until no
-    label moves. Labels are aggregated map-side before each shuffle, and what a hub or the
-    label of a large component meets is joined by size. A round's tables are deleted
-    when the next one's stand.
+    label moves. Labels are aggregated map-side before each shuffle. A hub or the label of
+    a large component may be a join key of as many rows as there are: beyond ``ONE_TASK``
+    rows such keys are joined by size. A round's tables are deleted when the next one's stand.
     """
     own = Scratch(edges.sparkSession, "components")
     both = own.keep("both", edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct())
@@ -37,11 +40,15 @@ def components(edges: DataFrame) -> DataFrame:
     degree = own.keep("degree", both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label"), F.count(F.lit(1)).alias("degree")))
     labels = degree.select("node", "label", "degree")
     ends, nodes = both.count(), degree.count()
+
+    def meet(left: DataFrame, right: DataFrame, on: str, size: str, total: int) -> DataFrame:
+        return join_by_size(left, right, [on], size, total) if total > ONE_TASK else left.join(right.drop(size), on)
+
     while True:
         sizes = labels.groupBy(F.col("label").alias("node")).agg(F.count(F.lit(1)).alias("size"))
-        far = labels.join(sizes, "node").select(F.col("node").alias("label"), F.col("label").alias("far"), "size")
-        step = own.keep("step", join_by_size(labels, far, ["label"], "size", nodes).select("node", "label", "far", "degree"))
-        near = join_by_size(both, step.select(F.col("node").alias("other"), F.col("far").alias("near"), "degree"), ["other"], "degree", ends)
+        far = (labels.join(sizes, "node") if nodes > ONE_TASK else labels.withColumn("size", F.lit(0))).select(F.col("node").alias("label"), F.col("label").alias("far"), "size")
+        step = own.keep("step", meet(labels, far, "label", "size", nodes).select("node", "label", "far", "degree"))
+        near = meet(both, step.select(F.col("node").alias("other"), F.col("far").alias("near"), "degree"), "other", "degree", ends)
         near = near.groupBy("node").agg(F.min("near").alias("near"))
         near = step.join(near, "node").select("node", "label", "degree", F.least("far", "near").alias("new"))
         none = lambda c: F.lit(None).cast(step.schema[c].dataType).alias(c)

@@ -5,7 +5,7 @@ in one global order, rare shingles first: those known to be frequent (counted ov
 all documents) last, by count; the others by hash. Two sets of similarity 0.8 then
 share a shingle among the first n - ceil(0.8 n) + 1 of each, so documents meet on
 these prefix shingles only. Documents that meet pass a length and a positional
-filter, the distinct pairs two bounds from bucket counts, and the rest a suffix
+filter, the distinct pairs a bound from bucket counts, and the rest a suffix
 filter and the comparison of their whole sets.
 
 Equal sets are one class, joined once through its smallest document. Prefix shingles
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, Words, blocks, bytes_hash, mix64, text_or_empty
+from ._common import Scratch, Words, blocks, bytes_hash, least_count, mix64, text_or_empty
 from .graph import components, join_by_size
 
 #: Most shingles that are known as frequent by count (a broadcast of 2 MB at most).
@@ -69,17 +69,9 @@ def least_overlap(n: np.ndarray | int, share: int = 80):
     return -(-share * n // 100)
 
 
-def coarse(s: np.ndarray) -> bytes:
-    """Counts of a set's elements by their top bits, two to four elements to a bucket."""
-    return _buckets(s, max(0, len(s).bit_length() - 2))
-
-
 def signature(s: np.ndarray) -> bytes:
-    """The same with one or two elements to a bucket: an eighth of the set's own bytes."""
-    return _buckets(s, max(0, len(s).bit_length() - 1))
-
-
-def _buckets(s: np.ndarray, bits: int) -> bytes:
+    """Counts of a set's elements by their top bits, two to four elements to a bucket."""
+    bits = max(0, len(s).bit_length() - 2)
     if not bits:
         return bytes([min(len(s), 255)])
     return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
@@ -98,8 +90,8 @@ def signature_bound(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _summaries(docs: DataFrame, k: int) -> DataFrame:
-    """Per document ``doc_id, n, k1, k2`` (a 128-bit hash of its set) and ``sig`` (coarse
-    bucket counts), and rows with a null ``n`` that count locally frequent shingles
+    """Per document ``doc_id, n, k1, k2`` (a 128-bit hash of its set) and ``sig`` (bucket
+    counts), and rows with a null ``n`` that count locally frequent shingles
     (``k1`` the shingle, ``k2`` times)."""
     import xxhash
 
@@ -126,7 +118,7 @@ def _summaries(docs: DataFrame, k: int) -> DataFrame:
             sets = shingle_sets(b.column(1), k)
             keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
             n = np.fromiter(map(len, sets), np.int64, len(sets))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([coarse(s) for s in sets], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([signature(s) for s in sets], pa.binary())], names=names)
             held += sets
             size += int(n.sum())
             if size >= CHUNK:
@@ -209,10 +201,13 @@ class _Join:
         self.alone = each.where("n = 0 or doc_id is null").select("doc_id", "n")
         self.mapped = own.keep("mapped", join_by_size(each.where("n > 0 and doc_id is not null"), own.keep("classes", classes), ["k1", "k2", "n"], "members", self.total).select("doc_id", "n", "rep", "members"))
         own.drop("classes")
-        counted = seen.where("n is null").groupBy("k1").agg(F.sum("k2").alias("times"))
-        top = counted.orderBy(F.desc("times"), "k1").limit(HEAVY).collect()
-        heavy = np.array([r["k1"] for r in reversed(top)], np.int64).view(np.uint64)
-        hot = np.array([r["k1"] for r in top if r["times"] > max(self.total // 2000, 64)], np.int64).view(np.uint64)
+        counted = own.keep("counted", seen.where("n is null").groupBy("k1").agg(F.sum("k2").alias("times")))
+        # at most HEAVY rows, found without a sort of all on the driver
+        top = counted.where(F.col("times") >= least_count(counted, "times", HEAVY)).toArrow()
+        order = np.lexsort((top["k1"].to_numpy(), top["times"].to_numpy()))
+        heavy, often = top["k1"].to_numpy()[order].view(np.uint64), top["times"].to_numpy()[order]
+        own.drop("counted")
+        hot = heavy[often > max(self.total // 2000, 64)]
 
         # one document of each class: few others are left out before their prefixes are made
         copies = own.keep("copies", self.mapped.where("doc_id <> rep").select("doc_id").distinct())
@@ -243,15 +238,10 @@ class _Join:
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that reach the similarity, with ``same``, the common shingles,
-        and ``na`` and ``nb``: bounded by coarse and then by finer bucket counts and by the
-        suffix filter, then each verified once on the whole sets."""
+        and ``na`` and ``nb``: bounded by bucket counts and by the suffix filter, then each
+        verified once on the whole sets."""
         k, share, own = self.k, self.share, self.own
 
-        def signed(batches):
-            for b in blocks(batches):
-                made = shingle_sets(b.column(1), k)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([signature(s) for s in made], pa.binary())], names=["doc_id", "v"])
-
         def whole_sets(batches):
             for b in blocks(batches):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), k)], pa.binary())], names=["doc_id", "v"])
@@ -286,13 +276,11 @@ class _Join:
         sized = self._of_pairs(self.seen.where("n is not null").select("doc_id", F.struct("n", "sig").alias("v")), pairs)
         rough = beside(pairs.withColumns({"na": F.lit(0), "nb": F.lit(0)}), sized)
         rough = rough.select("a", "b", F.col("va.n").alias("na"), F.col("vb.n").alias("nb"), F.col("va.sig").alias("va"), F.col("vb.sig").alias("vb"))
-        likely = own.keep("rough", rough.mapInArrow(bounded, kept))
-        fine = self._of_pairs(self.rows, likely).mapInArrow(signed, "doc_id long, v binary")
-        likely = own.keep("likely", beside(likely, fine).mapInArrow(bounded, kept))
+        likely = own.keep("likely", rough.mapInArrow(bounded, kept))
         sets = self._of_pairs(self.rows, likely).mapInArrow(whole_sets, "doc_id long, v binary")
         found = beside(likely, sets).mapInArrow(exact, f"{kept}, same long").dropDuplicates(["a", "b"])
         found = own.keep(name, found)
-        own.drop("rough", "likely", "ids")
+        own.drop("likely", "ids")
         return found
 
 

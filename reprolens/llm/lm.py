@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, blocks, cut, text_or_empty
+from ._common import Words, blocks, cut, least_count, text_or_empty
 
 #: Words of the neural model (its tables have the square of it) and of the broadcast counts.
 VOCABULARY = 1023
@@ -70,20 +70,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("t").mapInArrow(of, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def least_count(counts: DataFrame, most: int) -> int:
-    """The smallest count that at most ``most`` words reach, from a histogram of at most
-    some thousand classes: counts to 1,000 by themselves, larger ones by 1/32 of a doubling."""
-    c = F.col("c").cast("double")
-    group = F.when(c <= 1000, c).otherwise(1000 + F.floor(F.log2(c) * 32))
-    total, least = 0, 1 << 62
-    for r in counts.groupBy(group.alias("g")).agg(F.min("c").alias("low"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("low")).collect():
-        total += r["n"]
-        if total > most:
-            break
-        least = r["low"]
-    return least
-
-
 def train_bilinear(pairs: np.ndarray, dimensions: int = DIMENSIONS, noise: float = NOISE, steps: int = STEPS, seed: int = 5) -> np.ndarray:
     """Log10 probabilities [before, token] of a log-bilinear model trained on counts of
     (before, token) pairs by noise-contrastive estimation with Adam."""
@@ -186,7 +172,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     counts = cut(word_counts(rows))
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     documents = rows.select("id").count()
-    top = counts.where(F.col("c") >= least_count(counts, KNOWN)).toArrow()
+    top = counts.where(F.col("c") >= least_count(counts, "c", KNOWN)).toArrow()
     order = np.lexsort((np.array(top.column("word").to_pylist(), object), -top.column("c").to_numpy())) if top.num_rows else np.zeros(0, np.int64)
     words = top.column("word").combine_chunks().cast(pa.large_string()).take(pa.array(order, pa.int64()))
     known = top.column("c").to_numpy()[order].astype(np.int64)
