@@ -63,7 +63,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate in every document, scored by the forest."""
-    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(spark))
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(spark, words=secret_scan.vocabulary_words(vocabulary("word_bpe_49k.json"))))
 
 
 QUERIES = {

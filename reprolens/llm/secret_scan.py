@@ -1,20 +1,26 @@
 """Secret scanning with a random forest that removes false positives.
 
-Candidates are long tokens that hold a digit, and values assigned to a password-like
-name. Each gets features from its characters (length, class transitions, distinct
-characters, dictionary coverage), its path-like surroundings and neighbouring words.
-A forest trained from labelled findings, a bounded table, decides. Finding,
-features and forest are SQL expressions over one row, so a scan has no shuffle: the
-trees become nested CASE expressions.
+Candidates are values assigned to a password-like name, whatever their length, and
+long tokens that hold a digit. Each gets features from its characters (length, class
+transitions, distinct characters), from a dictionary (coverage by the letter triples
+of its words, likelihood of its letter transitions among them), its path-like
+surroundings and neighbouring words. A forest trained from labelled findings, a
+bounded table, decides. Finding, features, forest and offsets are SQL expressions
+over one row, so a scan has no shuffle: the trees become nested CASE expressions.
 """
 
 from __future__ import annotations
 
+import collections
+import json
+import math
 import random
+import re
 import string
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import text_or_empty
@@ -23,33 +29,97 @@ from ._common import text_or_empty
 MAX_FINDINGS = 20_000
 
 _NAMES = "password|passwd|pwd|secret|token|apikey|api_key|api-key|access_key|private_key"
-#: A long run of token characters with a digit in it, or what is assigned to one of the names.
+_ASSIGNS = r"(?i:(?:" + _NAMES + r")(?:_[a-z]{1,12}+)?)[\"']?\s?[:=]\s?"
+#: What is assigned to one of the names, to the closing quote or blank, or a long run
+#: of token characters with a digit in it.
 CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}"
-    r"|(?<=[=:\"' ])(?<=(?i:" + _NAMES + r")[\"']?\s?[:=]\s?[\"']?)[^\s\"'<>,;]{6,256}+"
-)
-#: Parts of ordinary words; characters that they cover count as dictionary coverage.
-_DICTIONARY = (
-    "the|and|ing|tion|for|with|this|that|you|your|are|was|not|from|have|all|can|will|page|file|image|img|index|item|post|"
-    "user|name|date|time|view|list|home|test|example|sample|change|here|chapter|section|version|content|article|product|"
-    "photo|video|report|order|number|invoice|model|class|type|data|main|node|part|block|line|key|value|ment|able|heit|"
-    "keit|lich|ver|sch|ein|que|ent|eau|aux|ción|mente|ado|ion|est|ere|her|hat|his|ter|ati|ith|ers|xxx|abc|123|000"
+    r"(?=[aptsAPTS])" + _ASSIGNS + r"(?:\"[^\s\"]{6,}+|'[^\s']{6,}+|[^\s\"'<>,;]{6,}+)"
+    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}"
 )
+#: The part of a candidate that is the name.
+_PREFIX = "^" + _ASSIGNS + "[\"']?"
+#: Elements of one step of the running sums of offsets.
+_STEP = 256
 FEATURES = (
-    "length", "digits", "lowers", "uppers", "marks", "transitions", "distinct", "coverage", "vowels", "longest_letters",
+    "length", "digits", "lowers", "uppers", "marks", "transitions", "distinct", "coverage", "likelihood", "vowels", "longest_letters",
     "hex", "numeric", "grouped", "vendor", "asked", "assigned", "quoted", "path", "suffix", "explained", "mail",
 )
 
 
+def vocabulary_words(path: str) -> list[str]:
+    """The whole words of four letters or more in a public tokenizer's vocabulary with word ends."""
+    with open(path, encoding="utf-8") as f:
+        entries = json.load(f)["model"]["vocab"]
+    return [w.removesuffix("</w>") for w in entries if re.fullmatch(r"[a-z]{4,}</w>", w)]
+
+
+#: Words that stand for a dictionary where none is given.
+_FEW_WORDS = (
+    "about after again article before between change chapter content data date example file first from have here home image "
+    "index invoice item just letter line list make many model more name number only order other over page part people photo "
+    "post product report right sample section some test that their them then there these they this time token user value "
+    "version video view water were what when where which will with word work would write year your"
+).split()
+
+
+@dataclass(frozen=True)
+class Dictionary:
+    """Letter triples of words as a bit set (275 longs), and the log2 odds of each of the
+    676 letter transitions against chance."""
+
+    triples: tuple[int, ...]
+    transitions: tuple[float, ...]
+
+    @classmethod
+    def of(cls, words: list[str], share: float = 0.9) -> Dictionary:
+        """The most frequent triples that make up ``share`` of all in the words."""
+        words = [w for w in words if re.fullmatch("[a-z]+", w)]
+        code = lambda s: sum((ord(c) - 97) * 26**i for i, c in enumerate(reversed(s)))
+        three = collections.Counter(code(w[i : i + 3]) for w in words for i in range(len(w) - 2))
+        two = collections.Counter(code(w[i : i + 2]) for w in words for i in range(len(w) - 1))
+        bits, left = [0] * 275, share * sum(three.values())
+        for t, n in sorted(three.items(), key=lambda x: (-x[1], x[0])):
+            if left <= 0:
+                break
+            bits[t // 64] |= 1 << (t % 64)
+            left -= n
+        total = sum(two.values())
+        odds = [math.log2((two[i] + 0.5) / (total + 338) * 676) for i in range(676)]
+        return cls(tuple(b - (1 << 64) if b >> 63 else b for b in bits), tuple(round(o, 3) for o in odds))
+
+    def features(self, low: Column) -> tuple[Column, Column]:
+        """Of a lower-case value: the share of characters within a triple of the
+        dictionary, and the mean log2 odds of neighbouring letters."""
+        let = lambda made, then: F.element_at(F.transform(F.array(made), then), 1)
+        triples, odds = F.array(*map(F.lit, self.triples)), F.array(*map(F.lit, self.transitions))
+        letters = F.transform(F.split(low, ""), lambda c: F.when(c.between("a", "z"), F.ascii(c) - 97))
+
+        def covered(at: Column) -> Column:
+            places = F.sequence(F.lit(0), F.size(at) - 1)
+            three = lambda i: (F.get(at, i) * 26 + F.get(at, i + 1)) * 26 + F.get(at, i + 2)
+            bit = lambda t: F.coalesce(F.getbit(F.get(triples, F.floor(t / 64).cast("int")), t % 64) == 1, F.lit(False))
+            hits = F.transform(places, lambda i: bit(three(i)))
+            hit = lambda h, i: F.coalesce(F.get(h, i), F.lit(False))
+            return let(hits, lambda h: F.size(F.filter(places, lambda i: hit(h, i) | hit(h, i - 1) | hit(h, i - 2))) / F.size(at))
+
+        def likely(at: Column) -> Column:
+            pairs = F.transform(F.sequence(F.lit(0), F.size(at) - 1), lambda i: F.get(odds, F.get(at, i) * 26 + F.get(at, i + 1)))
+            known = F.filter(pairs, lambda o: o.isNotNull())
+            return let(known, lambda o: F.aggregate(o, F.lit(0.0), lambda x, y: x + y) / F.greatest(F.size(o), F.lit(1)))
+
+        return let(letters, covered), let(letters, likely)
+
+
 def _of_class(value: Column, chars: str) -> Column:
     """Share of characters outside ASCII class ``chars`` subtracted from one."""
     return (F.length(value) - F.length(F.regexp_replace(value, f"[{chars}]", ""))) / F.length(value)
 
 
-def _features(value: Column, before: Column, after: Column) -> Column:
+def _features(value: Column, before: Column, after: Column, words: Dictionary) -> Column:
     low = F.lower(value)
     runs = F.transform(F.split(value, "[^A-Za-z]+"), F.length)
     flag = lambda c: c.cast("double")
+    coverage, likelihood = words.features(low)
     found = {
         "length": F.length(value).cast("double"),
         "digits": _of_class(value, "0-9"),
@@ -58,14 +128,15 @@ def _features(value: Column, before: Column, after: Column) -> Column:
         "marks": _of_class(value, "^A-Za-z0-9"),
         "transitions": F.regexp_count(value, F.lit("[a-z](?=[A-Z0-9])|[A-Z](?=[a-z0-9])|[0-9](?=[A-Za-z])")) / F.length(value),
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.length(value),
-        "coverage": (F.length(value) - F.length(F.regexp_replace(low, _DICTIONARY, ""))) / F.length(value),
+        "coverage": coverage,
+        "likelihood": likelihood,
         "vowels": _of_class(low, "aeiou"),
         "longest_letters": F.array_max(runs).cast("double"),
         "hex": flag(value.rlike("^[0-9a-f]+$|^[0-9A-F]+$")),
         "numeric": flag(value.rlike(r"^[0-9/_+-]+$")),
         "grouped": F.regexp_count(value, F.lit("[/_-]")).cast("double"),
         "vendor": flag(value.rlike("^(AKIA|ASIA)[A-Z0-9]{12,}$|^gh[pousr]_|^sk-|^xox[abprs]-|^AIza|^glpat-")),
-        "asked": flag(before.rlike("(?i)(" + _NAMES + r"|credential|bearer|auth)[a-z_]{0,8}[\"']?\s{0,2}[:=]?\s{0,2}[\"']?$")),
+        "asked": flag(before.rlike("(?i)(" + _NAMES + r"|credential|bearer|auth)[a-z_]{0,13}[\"']?\s{0,2}[:=]?\s{0,2}[\"']?$")),
         "assigned": flag(before.rlike("[:=]\\s{0,2}[\"']?$")),
         "quoted": flag(before.rlike("[\"'`]$")),
         "path": flag(before.rlike(r"(://|www\.|[/.~?&#%])[^\s]*$")) + flag(value.rlike("^/|[a-z]/[a-z]")),
@@ -76,16 +147,21 @@ def _features(value: Column, before: Column, after: Column) -> Column:
     return F.struct(*(found[n].alias(n) for n in FEATURES))
 
 
-def _candidates(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """_id, _t, _values, _gaps and _feats (arrays in order; null where a text has no candidate)."""
+def _candidates(docs: DataFrame, id_col: str, text_col: str, words: Dictionary, keep: tuple[str, ...] = ()) -> DataFrame:
+    """_id, _t, _values, _gaps (the text before, between and after them) and _feats
+    (arrays in order; null where a text has no candidate)."""
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t"), *keep)
-    rows = rows.withColumn("_values", F.regexp_extract_all("_t", F.lit(CANDIDATE), 0))
-    some = F.size("_values") > 0
-    rows = rows.withColumn("_gaps", F.when(some, F.split("_t", CANDIDATE, -1)))
+    rows = rows.withColumn("_found", F.regexp_extract_all("_t", F.lit(CANDIDATE), 0))
+    some = F.size("_found") > 0
+    rows = rows.withColumn("_names", F.when(some, F.transform("_found", lambda m: F.regexp_extract(m, _PREFIX, 0)))).withColumn("_rest", F.when(some, F.split("_t", CANDIDATE, -1)))
+    # a name belongs to the text before its value
+    rows = rows.withColumn("_values", F.when(some, F.zip_with("_found", "_names", lambda m, n: F.substr(m, F.length(n) + 1))))
+    rows = rows.withColumn("_gaps", F.when(some, F.transform("_rest", lambda g, i: F.concat(g, F.coalesce(F.get("_names", i), F.lit(""))))))
     one = lambda i: _features(
-        F.get("_values", i), F.right(F.get("_gaps", i), F.lit(48)), F.left(F.get("_gaps", i + 1), F.lit(32))
+        F.get("_values", i), F.right(F.get("_gaps", i), F.lit(48)), F.left(F.concat(F.get("_rest", i + 1), F.coalesce(F.get("_names", i + 1), F.lit(""))), F.lit(32)), words
     )
-    return rows.withColumn("_feats", F.when(some, F.transform(F.sequence(F.lit(0), F.size("_values") - 1), one)))
+    rows = rows.withColumn("_feats", F.when(some, F.transform(F.sequence(F.lit(0), F.size("_values") - 1), one)))
+    return rows.drop("_found", "_names", "_rest")
 
 
 def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int]]:
@@ -146,8 +222,8 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int]]:
 class Forest:
     """Random forest of shallow trees grown in numpy; ``expression`` compiles it to SQL."""
 
-    def __init__(self, trees: int = 15, depth: int = 6, least: int = 5, seed: int = 3):
-        self.trees, self.depth, self.least, self.seed = trees, depth, least, seed
+    def __init__(self, words: Dictionary, trees: int = 15, depth: int = 6, least: int = 5, seed: int = 3):
+        self.words, self.trees, self.depth, self.least, self.seed = words, trees, depth, least, seed
         self.roots: list = []
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Forest:
@@ -199,15 +275,31 @@ class Forest:
         return total / len(self.roots)
 
 
-def train(spark: SparkSession, findings: list[tuple[str, int]] | None = None) -> Forest:
+def train(spark: SparkSession, findings: list[tuple[str, int]] | None = None, words: list[str] | None = None) -> Forest:
     """Forest from labelled findings (text with a candidate, 0 or 1); at most
-    ``MAX_FINDINGS`` of them are used. Their features come from the same SQL
-    expressions as those of a scan."""
-    rows = [(i, t, y) for i, (t, y) in enumerate((findings or labelled_findings())[:MAX_FINDINGS])]
-    made = _candidates(spark.createDataFrame(rows, "id long, text string, y int"), "id", "text", ("y",))
-    got = made.where("_feats is not null").select("_id", "y", F.col("_feats")[F.size("_feats") - 1].alias("f")).orderBy("_id").collect()
+    ``MAX_FINDINGS`` of them are used, and of each text its last candidate; texts without
+    one are left out. ``words`` are the dictionary. Features come from the same SQL
+    expressions as those of a scan. No findings at all raise ValueError."""
+    rows = [(i, t, y) for i, (t, y) in enumerate((labelled_findings() if findings is None else findings)[:MAX_FINDINGS])]
+    if not rows:
+        raise ValueError("no labelled findings")
+    forest = Forest(Dictionary.of(words or _FEW_WORDS))
+    made = _candidates(spark.createDataFrame(rows, "id long, text string, y int"), "id", "text", forest.words, ("y",))
+    got = made.select("_id", "y", F.try_element_at("_feats", F.lit(-1)).alias("f")).orderBy("_id").collect()
+    got = [g for g in got if g["f"] is not None]
     x = np.array([[float(v) for v in g["f"]] for g in got])
-    return Forest().fit(x, np.array([float(g["y"]) for g in got]))
+    return forest.fit(x, np.array([float(g["y"]) for g in got]))
+
+
+def _running(sizes: Column) -> Column:
+    """Sum of the elements before each one: within steps of ``_STEP`` elements, and over these."""
+    add = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+    let = lambda made, then: F.element_at(F.transform(F.array(made), then), 1)
+    steps = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _STEP).cast("int"))
+    sums = F.transform(steps, lambda s: add(F.slice(sizes, s * _STEP + 1, F.lit(_STEP))))
+    bases = let(sums, lambda own: F.transform(steps, lambda s: add(F.slice(own, F.lit(1), s))))
+    first = lambda i: F.floor(i / _STEP).cast("int")
+    return let(bases, lambda b: F.transform(sizes, lambda _, i: F.get(b, first(i)) + add(F.slice(sizes, first(i) * _STEP + 1, i % _STEP))))
 
 
 def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,31 +308,35 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str =
 
     Null and empty texts have none. Repeated rows report theirs each. A text of any
     length is read whole; a value found twice is reported twice. An empty table gives
-    an empty result.
+    an empty result. Other columns are ignored.
     """
-    rows = _candidates(docs, id_col, text_col).where("_feats is not null")
-    scores = F.transform("_feats", forest.expression)
-    # offsets by summing lengths within one row's candidates, numbered before the explode
-    rows = rows.select("_id", F.monotonically_increasing_id().alias("_row"), "_values", "_gaps", scores.alias("_scores"))
-    each = rows.select("_id", "_row", F.posexplode(F.arrays_zip(F.col("_values").alias("v"), F.slice("_gaps", F.lit(1), F.size("_values")).alias("g"), F.col("_scores").alias("s"))).alias("i", "c"))
-    each = each.select("_id", "_row", "i", F.length("c.v").alias("n"), F.length("c.g").alias("g"), F.sha2("c.v", 256).alias("h"), F.col("c.s").alias("s"))
-    before = Window.partitionBy("_row").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = _candidates(docs, id_col, text_col, forest.words)
+    rows = rows.select("_id", "_values", F.slice("_gaps", F.lit(1), F.size("_values")).alias("_gaps"), F.transform("_feats", forest.expression).alias("_scores"))
+    sizes = F.zip_with("_values", "_gaps", lambda v, g: (F.length(v) + F.length(g)).cast("long"))
+    rows = rows.withColumn("_sizes", sizes)
+    # no array of the row is named within a lambda, and no filter stands on one: the
+    # optimizer would make it again for each element, or pushed below what makes it
+    before = F.when(F.col("_sizes").isNotNull(), _running(F.col("_sizes"))).alias("_before")
+    each = rows.select("_id", F.explode_outer(F.arrays_zip("_values", "_gaps", "_scores", before)).alias("c")).where("c is not null")
     return each.select(
         F.col("_id").alias(id_col),
-        (F.sum(F.col("n") + F.col("g")).over(before) - F.col("n")).alias("start"),
-        F.col("n").alias("length"),
-        F.col("h").alias("value_sha256"),
-        F.col("s").alias("score"),
-        (F.col("s") >= threshold).alias("is_secret"),
+        (F.col("c._before") + F.length("c._gaps")).alias("start"),
+        F.length("c._values").alias("length"),
+        F.sha2("c._values", 256).alias("value_sha256"),
+        F.col("c._scores").alias("score"),
+        (F.col("c._scores") >= threshold).alias("is_secret"),
     )
 
 
 def redact(docs: DataFrame, forest: Forest, threshold: float = 0.5, mark: str = "<SECRET>", text_col: str = "text") -> DataFrame:
     """``docs`` with each secret replaced by ``mark`` and ``n_chars``, where there is
-    such a column, counted anew for changed texts. No row is dropped; other texts stay
-    as they were, null ones too."""
+    such a column, counted anew for changed texts. No row is dropped, repeated ones
+    neither; other texts stay as they were, null and empty ones too. Further columns may
+    have any name. An empty table gives an empty result."""
     names = docs.columns
-    rows = _candidates(docs.select(F.struct(*(F.col(c).alias(str(i)) for i, c in enumerate(names))).alias("_r"), F.col(text_col).alias("_text")), "_r", "_text")
+    plain = docs.toDF(*(str(i) for i in range(len(names))))
+    at = str(names.index(text_col))
+    rows = _candidates(plain.select(F.struct(*plain.columns).alias("_r"), F.col(at).alias("_text")), "_r", "_text", forest.words)
     scores = F.when(F.col("_feats").isNotNull(), F.transform("_feats", forest.expression))
     rows = rows.withColumn("_bad", F.transform(scores, lambda s: s >= threshold))
     piece = lambda g, i: F.concat(g, F.when(F.get("_bad", i), F.lit(mark)).otherwise(F.coalesce(F.get("_values", i), F.lit(""))))
@@ -252,6 +348,6 @@ def redact(docs: DataFrame, forest: Forest, threshold: float = 0.5, mark: str =
         if c == text_col:
             old = F.when(F.col("_new").isNotNull(), F.col("_new")).otherwise(old)
         elif c == "n_chars":
-            old = F.when(F.col("_new").isNotNull(), F.length("_new").cast(dict(docs.dtypes)[c])).otherwise(old)
+            old = F.when(F.col("_new").isNotNull(), F.length("_new").cast(docs.schema[i].dataType)).otherwise(old)
         out.append(old.alias(c))
     return rows.select(*out)
