@@ -35,7 +35,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, confirmed secrets replaced by a mark."""
-    return secret_scan.redact(docs, secret_scan.train(spark))
+    words = secret_scan.vocabulary_words(vocabulary("word_bpe_49k.json"))
+    return secret_scan.redact(docs, secret_scan.train(spark, words=words))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
