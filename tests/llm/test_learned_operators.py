@@ -141,38 +141,73 @@ def test_components_of_a_chain_of_hundreds(spark, shuffled):
 
 @pytest.mark.parametrize("known", [1 << 18, 20])
 def test_lm_scores(spark, monkeypatch, known):
+    """All columns against plain Python; the score from the model's weights by its definition."""
     monkeypatch.setattr(lm, "KNOWN", known)
     r = random.Random(6)
     texts = [None, "", " the  THE\x0bcat ", *[words(r, r.randint(1, 60), 50) + f" rare{i}" for i in range(60)]]
-    got = {g["doc_id"]: g for g in lm.score(frame(spark, texts), vocabulary=8).collect()}
+    model, counts = lm.fit(frame(spark, texts), vocabulary=8, buckets=4)
+    got = {g["doc_id"]: g for g in lm.score_with(frame(spark, texts), model, counts).collect()}
     tokens = {i: [*(t or "").encode().lower().split(), None] for i, t in enumerate(texts)}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
     c = collections.Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
     total, types = sum(c.values()), len(c)
+    own = sorted((w for w in c if w), key=lambda w: (-c[w], w))[:8]
+    bucket = {w: zlib.crc32(w) % 4 for ws in tokens.values() for w in ws if w and w not in own}
+    share = {k: sum(c[w] for w in c if bucket.get(w) == k) + sum(bucket.get(w) == k for w in c) + 1 for k in range(4)}
+    entry = {None: 0, **{w: 1 + i for i, w in enumerate(own)}}
+    place = lambda w: int(model.place[entry[w] if w in entry else 1 + len(own) + bucket[w]])
+    m = model.weights
+
+    def log_softmax(x, i):
+        return x[i] - np.log(np.exp(x).sum())
+
     for i, ws in tokens.items():
-        g = got[i]
+        g, want = got[i], 0.0
+        for k, w in enumerate(ws):
+            before = [ws[k - p] if k >= p else None for p in (1, 2)]
+            h = sum(m.r[place(b)].astype(float) @ m.c[p] for p, b in enumerate(before))
+            e = place(w)
+            kind, at = e // m.width, slice(e // m.width * m.width, (e // m.width + 1) * m.width)
+            want += log_softmax(h @ m.qc.T + m.bc, kind) + log_softmax(h @ m.q[at].T + m.b[at], e - at.start)
+            want += np.log((c[w] + 1) / share[bucket[w]]) if w in bucket else 0.0
         assert (g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == (held[i], len(ws), sum(c[w] > 0 for w in ws), total)
         assert g["base_score"] == pytest.approx(sum(np.log10((c[w] + 1) / (total + types + 1)) for w in ws))
-        assert g["score"] < 0
+        assert g["score"] == pytest.approx(want / np.log(10), rel=1e-4)
     assert lm.score(frame(spark, ["x"]).limit(0)).count() == 0
+    # repeated rows are scored each, and an identifier that is null is not held out
+    odd = lm.score(frame(spark, ["a b", "a b", "c"], [1, 1, None])).collect()
+    assert len(odd) == 3 and [g["held_out"] for g in odd if g["doc_id"] is None] == [False]
 
 
 def test_lm_probabilities_sum_to_one(spark):
     r = random.Random(7)
-    df = frame(spark, [words(r, 50, 40) for _ in range(40)])
-    model, counts = lm.fit(df, vocabulary=10)
-    assert np.allclose((10.0 ** model.table.astype(float)).sum(1), 1, atol=1e-4)
-    rest = [row["c"] for row in counts.collect() if row["word"] not in model.words.to_pylist()[:10]]
-    assert sum(10 ** model.other(c) for c in [*rest, 0]) == pytest.approx(1)
+    model, _ = lm.fit(frame(spark, [words(r, 50, 400) for _ in range(40)]), vocabulary=150, buckets=30)
+    n = len(model.place)
+    for before in ([0, 0], [5, 100], [n - 1, 3]):
+        assert (10 ** model.weights.log10(np.repeat(np.array(before)[:, None], n, 1), np.arange(n))).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_lm_learns_what_follows_what():
-    pairs = np.zeros((6, 6))
-    for i in range(6):
-        pairs[i, (i + 1) % 6] = 100
-    table = lm.train_bilinear(pairs, dimensions=8, steps=300)
-    assert all(np.argmax(table[i]) == (i + 1) % 6 and 10 ** table[i].max() > 0.6 for i in range(6))
-    assert lm.train_bilinear(np.zeros((4, 4))).shape == (4, 4)
+    """The token two before decides: only the second position's matrix can tell."""
+    r = np.random.default_rng(1)
+    tokens = r.integers(0, 100, 200_000)
+    for i in range(2, len(tokens)):
+        if i % 2:
+            tokens[i] = (tokens[i - 2] + 1) % 100
+    before = np.stack([np.roll(tokens, 1), np.roll(tokens, 2)])
+    counts = np.full(100, 2000.0)
+    own = np.arange(2, 20_000)
+    start = lm.Weights.start(counts, dimensions=32)
+    trainer = lm.Trainer(start.filled(start.flat()), counts, rate=0.1)
+    trainer.learn(before[:, 2:], tokens[2:], batch=2048, passes=6)
+    odd = own[own % 2 == 1]
+    assert start.log10(before[:, odd], tokens[odd]).mean() == pytest.approx(-2, abs=0.1)
+    assert trainer.w.log10(before[:, odd], tokens[odd]).mean() > -1.2
+
+
+def test_lm_beats_the_unigram_on_held_out_documents(spark):
+    got = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert got[0] / got[2] > got[1] / got[2] + 0.04
 
 
 def test_quality_statistics_and_fit(spark):
@@ -180,12 +215,16 @@ def test_quality_statistics_and_fit(spark):
     assert x.shape == (5, len(quality.NAMES)) and np.isfinite(x).all() and (x[0] == x[1]).all()
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = quality.classify(docs, labels).join(labels, "doc_id").collect()
-    right = np.mean([g["predicted"] == g["quality"] for g in got])
-    assert right > 0.9 and all(0 <= g["score"] <= 1 for g in got)
+    right = np.mean([g["predicted"] == g["quality"] for g in got if g["held_out"]])
+    assert right > 0.9 and sum(g["held_out"] for g in got) > 5 and all(0 <= g["score"] <= 1 for g in got)
     nothing = quality.classify(docs, labels.limit(0)).agg(F.min("score"), F.max("score")).first()
     assert list(nothing) == [0.5, 0.5]
     assert quality.classify(docs.limit(0), labels).count() == 0
     _, model = quality.train(docs, labels)
+    alone = quality.learn(docs, labels)
+    assert np.allclose(alone.means, model.means) and np.allclose(alone.factors, model.factors)
+    odd = docs.withColumn("a.b", F.lit("c"))
+    assert quality.keep_good(odd, model).columns == odd.columns
     kept = quality.keep_good(docs, model)
     assert kept.columns == docs.columns and kept.count() == quality.classify(docs, labels).where("predicted = 1").count()
 
