@@ -49,7 +49,7 @@ class ChunkEncoder:
     ODD = r"[^\t-\r -&(-;=-~À-ÖØ-öø-ÿ]"
     SPLIT = r"([0-9]|[!-&(-/:;=-@\[-`{-~]+)"
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
