@@ -99,17 +99,21 @@ def deduplicate(
     """``docs`` with exactly one row for each text, its columns unchanged.
 
     The same sort as ``exact_groups``; rows that repeat identifier and text leave
-    one row. Null text counts as empty for the comparison and is returned as it was.
+    one row. Null text counts as empty for the comparison and is returned as it was. Of
+    null identifiers one stays only where its text has no other. Further columns may have
+    any name. An empty table gives an empty result.
     """
     best = {"min": F.min, "max": F.max}[keep]
     first = F.col("_r.0").asc_nulls_last() if keep == "min" else F.col("_r.0").desc_nulls_last()
-    norm = text_or_empty(text_col) if normalise is None else normalise(text_or_empty(text_col))
     names = docs.columns
-    packed = docs.select(
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    own, text = F.col(f"c{names.index(id_col)}"), f"c{names.index(text_col)}"
+    norm = text_or_empty(text) if normalise is None else normalise(text_or_empty(text))
+    packed = plain.select(
         norm.alias("_t"),
-        F.struct(F.col(id_col).alias("0"), *(F.col(c).alias(str(i + 1)) for i, c in enumerate(names) if c != text_col)).alias("_r"),
-        F.col(text_col).isNull().alias("_null"),
-        *([F.col(text_col).alias("_raw")] if normalise is not None else []),
+        F.struct(own.alias("0"), *(F.col(f"c{i}").alias(str(i + 1)) for i, c in enumerate(names) if c != text_col)).alias("_r"),
+        F.col(text).isNull().alias("_null"),
+        *([F.col(text).alias("_raw")] if normalise is not None else []),
     ).withColumn("_h", F.xxhash64("_t"))
     hot = _hot_hashes(packed.select("_h"), hot_groups)
     is_hot = F.col("_h").isin(hot) if hot else F.lit(False)

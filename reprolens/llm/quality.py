@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 from ._common import Words, blocks, cut, text_or_empty
 
+#: Up to so many labels (24 MB) are broadcast to find their documents.
+BROADCAST_LABELS = 1_000_000
+
 NAMES = (
     "log_chars", "log_words", "word_length", "word_length_sd", "letters", "upper", "digits", "spaces", "symbols",
     "punctuation", "bars", "line_repeats", "word_variety", "top_word", "long_words", "line_length", "symbol_words",
@@ -195,24 +198,42 @@ def score_features(x: DataFrame, model: Discriminant) -> DataFrame:
     return x.mapInArrow(of, f"id {dict(x.dtypes)['id']}, score double")
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id") -> tuple[DataFrame, Discriminant]:
-    """The statistics of all documents, kept in the shared folder, and the model
-    fitted on the labelled ones whose crc32(id as text) mod ``folds`` is not ``held``."""
-    x = cut(features(docs, id_col))
-    y = labels.where(F.crc32(F.col(id_col).cast("string")) % folds != held).select(
-        F.col(id_col).alias("id"), F.col("quality").alias("y")
-    )
-    return x, fit(x.join(y, "id"))
+def _known(labels: DataFrame, folds: int, held: int, id_col: str) -> DataFrame:
+    """``id, y`` of the labels to learn from; others than 0 and 1 are left out."""
+    return labels.where(F.crc32(F.col(id_col).cast("string")) % folds != held).where("quality in (0, 1)").select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("y"))
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Discriminant]:
+    """The statistics of all documents, kept in the shared folder, and the model fitted on
+    the labelled ones whose crc32(id as text) mod ``folds`` is not ``held``.
+
+    Each labelled row counts, so rows that repeat an identifier do, and one with two labels
+    counts for both. Null texts are empty ones. Without labels or documents every score
+    is one half. Other columns are ignored."""
+    x = cut(features(docs, id_col, text_col))
+    return x, fit(x.join(_known(labels, folds, held, id_col), "id"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> Discriminant:
+    """The model alone, as ``train`` fits it: up to ``BROADCAST_LABELS`` labels go to the
+    documents, so that statistics are computed of labelled texts only."""
+    y = _known(labels, folds, held, id_col)
+    if y.count() > BROADCAST_LABELS:
+        return train(docs, labels, folds, held, id_col, text_col)[1]
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(y.select("id").distinct()), "id", "left_semi")
+    return fit(features(own, "id", "t").join(F.broadcast(y), "id"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, held: int = 0, id_col: str = "doc_id") -> DataFrame:
+def classify(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Per document: id, ``held_out``, ``score`` and ``predicted``.
 
     Null and empty texts get the score of their (all zero) statistics. Documents
     without a label, or with a null one, are scored and not learnt from. Repeated
     rows are scored each. An empty table gives an empty result.
     """
-    x, model = train(docs, labels, folds, held, id_col)
+    x, model = train(docs, labels, folds, held, id_col, text_col)
     return score_features(x, model).select(
         F.col("id").alias(id_col),
         (F.crc32(F.col("id").cast("string")) % folds == held).alias("held_out"),
@@ -222,12 +243,15 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds:
 
 
 def keep_good(docs: DataFrame, model: Discriminant, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The documents that the model does not reject, columns unchanged, in one pass."""
+    """The documents that the model does not reject, columns unchanged whatever their
+    names, in one pass. Null and empty texts are judged by their (all zero) statistics;
+    repeated rows each by itself. An empty table gives an empty result."""
     names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
 
     def of(batches):
         for b in blocks(batches):
             keep = model.score(statistics(b.column(names.index(text_col)))) >= threshold
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(of, docs.schema)
+    return plain.mapInArrow(of, plain.schema).toDF(*names)

@@ -157,8 +157,9 @@ def test_exact_groups(spark, keep, hot):
         g = got[i * 3]
         assert (g["keep_id"], g["group_size"], g["kept"]) == (pick(same), len(same), pick(same) == i * 3)
         assert g["text_sha256"] == hashlib.sha256(t.encode()).hexdigest()
-    left = exact_dedup.deduplicate(docs(spark, texts), keep=keep, hot_groups=hot)
-    assert left.columns == docs(spark, texts).columns
+    wide = docs(spark, texts).withColumn("a.b", F.lit("c"))
+    left = exact_dedup.deduplicate(wide, keep=keep, hot_groups=hot)
+    assert left.columns == wide.columns and left.select("`a.b`").distinct().count() == 1
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(pick(j * 3 for j, u in enumerate(plain) if u == t) for t in set(plain))
 
 
