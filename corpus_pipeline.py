@@ -19,8 +19,7 @@ from reprolens.llm.queries import vocabulary
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model, trained on four fifths of the labels, does not reject."""
-    _, model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.keep_good(docs, model, threshold=0.3)
+    return quality.keep_good(docs, quality.learn(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
