@@ -1,8 +1,8 @@
 """Mapping rows to the nearest unit of a codebook, and the quality of a map.
 
-A codebook is a small table ``unit, c__<column>``; it is broadcast, and each row keeps
-its best unit by one aggregation-free expression: distances to all units are an array
-built from the broadcast row, so nothing is shuffled.
+A codebook is a small table ``unit, <column>...``. It is read to the driver, after a
+check of its size, and becomes part of the expression: each row's distances to all units
+are one array, so nothing is shuffled or joined.
 """
 
 from __future__ import annotations
@@ -26,30 +26,47 @@ def layer_distance(row: dict[str, Column], code: dict[str, Column], layers: dict
     return F.when(used > 0, total / used)
 
 
-def with_codebook(rows: DataFrame, codebook: DataFrame, layers: dict[str, tuple[str, ...]], weights: dict[str, float] | None = None, max_missing: float = 1.0) -> DataFrame:
-    """``rows`` with ``near``: (distance, unit) of all units, nearest first, ties by unit."""
-    columns = [c for cs in layers.values() for c in cs]
-    weights = weights or dict.fromkeys(layers, 1.0)
-    units = codebook.agg(F.array_sort(F.collect_list(F.struct("unit", *(F.col(c).alias(f"c__{c}") for c in columns)))).alias("_units"))
-    both = rows.crossJoin(F.broadcast(units))  # one row, as many entries as the map has units
+#: Most numbers of a codebook (8 MB), and most that are written out as single expressions.
+MAX_CODES = 1_000_000
+UNROLLED = 512
+
 
-    def of(u: Column) -> Column:
-        d = layer_distance({c: F.col(c) for c in columns}, {c: u[f"c__{c}"] for c in columns}, layers, weights, max_missing)
-        return F.struct(d.alias("distance"), u["unit"].alias("unit"))
+def codes_of(codebook: DataFrame, columns: list[str]) -> list:
+    """The rows (unit, columns) of a codebook, by unit."""
+    rows = codebook.select("unit", *columns).limit(MAX_CODES // max(len(columns), 1) + 1).collect()
+    if len(rows) * len(columns) > MAX_CODES:
+        raise ValueError(f"a codebook of over {MAX_CODES} numbers")
+    return sorted(rows, key=lambda r: r["unit"])
 
-    near = F.array_sort(F.filter(F.transform("_units", of), lambda s: s["distance"].isNotNull()))
-    return both.withColumn("near", near).drop("_units")
+
+def _distances(codes: list, columns: list[str], layers: dict[str, tuple[str, ...]], weights: dict[str, float], max_missing: float) -> Column:
+    """Array of the distances to all units, by unit."""
+    row = {c: F.col(c) for c in columns}
+    if len(codes) * len(columns) <= UNROLLED:
+        return F.array(*(layer_distance(row, {c: F.lit(r[c]).cast("double") for c in columns}, layers, weights, max_missing) for r in codes))
+    each = F.array(*(F.array(*(F.lit(r[c]).cast("double") for c in columns)) for r in codes))
+    at = {c: i for i, c in enumerate(columns)}
+    return F.transform(each, lambda u: layer_distance(row, {c: F.get(u, F.lit(i)) for c, i in at.items()}, layers, weights, max_missing))
 
 
 def map_rows(rows: DataFrame, codebook: DataFrame, layers: dict[str, tuple[str, ...]], weights: dict[str, float] | None = None, max_missing: float = 1.0) -> DataFrame:
-    """``rows`` with ``bmu``, ``second`` and ``distance`` (null if it cannot be mapped)."""
-    near = with_codebook(rows, codebook, layers, weights, max_missing)
-    return near.select(
-        *rows.columns,
-        F.get("near", F.lit(0))["unit"].alias("bmu"),
-        F.get("near", F.lit(1))["unit"].alias("second"),
-        F.get("near", F.lit(0))["distance"].alias("distance"),
-    )
+    """``rows`` with ``bmu``, ``second`` and ``distance`` (null if it cannot be mapped).
+    Of equally near units the first is taken. Without units nothing is mapped."""
+    columns = [c for cs in layers.values() for c in cs]
+    codes = codes_of(codebook, columns)
+    kind = codebook.schema["unit"].dataType
+    if not codes:
+        return rows.withColumns({"bmu": F.lit(None).cast(kind), "second": F.lit(None).cast(kind), "distance": F.lit(None).cast("double")})
+    units = F.array(*(F.lit(r["unit"]).cast(kind) for r in codes))
+    n = len(codes)
+    made = rows.withColumn("_all", _distances(codes, columns, layers, weights or dict.fromkeys(layers, 1.0), max_missing))
+    made = made.withColumn("distance", F.array_min("_all"))
+    made = made.withColumn("_at", F.nullif(F.array_position("_all", F.col("distance")).cast("int"), F.lit(0)))
+    # the same among the others
+    made = made.withColumn("_rest", F.concat(F.slice("_all", F.lit(1), F.col("_at") - 1), F.slice("_all", F.col("_at") + 1, F.lit(n))))
+    made = made.withColumn("_then", F.nullif(F.array_position("_rest", F.array_min("_rest")).cast("int"), F.lit(0)))
+    second = F.col("_then") + F.when(F.col("_then") >= F.col("_at"), 1).otherwise(0)
+    return made.select(*(F.col(f"`{c}`") for c in rows.columns), F.get(units, F.col("_at") - 1).alias("bmu"), F.get(units, second - 1).alias("second"), "distance")
 
 
 def map_rows_joined(rows: DataFrame, codebook: DataFrame, columns: list[str], id_col: str = "sample_id") -> DataFrame:
@@ -74,14 +91,18 @@ def empty_unit_rate(mapped: DataFrame, units: int, by: tuple[str, ...] = ()) ->
     return mapped.groupBy(*by).agg((1 - F.count_distinct("bmu") / F.lit(units)).alias("empty_unit_rate"))
 
 
-def topographic_error(mapped: DataFrame, xdim: int, ydim: int, topology: str = "hexagonal", toroidal: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
-    """Share of rows whose two nearest units are not neighbours; rows with fewer than
-    two distances are skipped."""
+def _adjacent(xdim: int, ydim: int, topology: str, toroidal: bool) -> Column:
     near = g.adjacency(xdim, ydim, topology, toroidal)
     n = len(near)
     # units are few: the adjacency is one array of flags
     flags = F.array(*(F.lit(bool(near[i, j])) for i in range(n) for j in range(n)))
-    ok = F.get(flags, (F.col("bmu") - 1) * n + F.col("second") - 1)
+    return F.get(flags, (F.col("bmu") - 1) * n + F.col("second") - 1)
+
+
+def topographic_error(mapped: DataFrame, xdim: int, ydim: int, topology: str = "hexagonal", toroidal: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """Share of rows whose two nearest units are not neighbours; rows with fewer than
+    two distances are skipped."""
+    ok = _adjacent(xdim, ydim, topology, toroidal)
     return mapped.where("bmu is not null and second is not null").groupBy(*by).agg(F.avg(F.when(ok, 0.0).otherwise(1.0)).alias("topographic_error"))
 
 
@@ -92,12 +113,37 @@ def unoccupied_rate(mapped: DataFrame, occupied: DataFrame, by: tuple[str, ...]
     return both.groupBy(*by).agg(F.avg(F.when(F.col("_o").isNull(), 1.0).otherwise(0.0)).alias("unoccupied_rate"))
 
 
+def map_quality(mapped: DataFrame, units: int, xdim: int, ydim: int, topology: str = "hexagonal", toroidal: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """Quantization error, empty-unit rate and topographic error by one aggregation."""
+    both = F.col("bmu").isNotNull() & F.col("second").isNotNull()
+    return mapped.groupBy(*by).agg(
+        F.avg("distance").alias("quantization_error"),
+        # units are few: those seen are one small set a group
+        (1 - F.size(F.collect_set("bmu")) / F.lit(units)).alias("empty_unit_rate"),
+        F.avg(F.when(both, F.when(_adjacent(xdim, ydim, topology, toroidal), 0.0).otherwise(1.0))).alias("topographic_error"),
+    )
+
+
 def initial_codebook(rows: DataFrame, columns: list[str], units: int, seed: int = 1, id_col: str = "sample_id") -> DataFrame:
-    """One row of the data for each unit, the first in the unit's digest order."""
-    number = rows.sparkSession.range(1, units + 1).select(F.col("id").cast("int").alias("unit"))
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("unit").cast("string"), F.col(id_col).cast("string")))
-    both = rows.crossJoin(F.broadcast(number)).withColumn("_k", F.struct(key.alias("k"), F.col(id_col).cast("string").alias("i")))
-    return both.groupBy("unit").agg(*(F.min_by(c, "_k").alias(c) for c in columns))
+    """One row of the data for each unit, the first in the unit's digest order.
+
+    The least first 15 hexadecimal digits of each unit are found as numbers, by one hash
+    aggregation; only the rows that have them are compared by whole digests."""
+    spark = rows.sparkSession
+    if units * len(columns) > MAX_CODES:
+        raise ValueError(f"a codebook of over {MAX_CODES} numbers")
+    digest = lambda unit: F.md5(F.concat_ws(":", F.lit(str(seed)), unit.cast("string"), F.col(id_col).cast("string")))
+    head = lambda key: F.conv(F.left(key, F.lit(15)), 16, 10).cast("long")
+    number = spark.range(1, units + 1).select(F.col("id").cast("int").alias("unit"))
+    least = rows.select(id_col).crossJoin(F.broadcast(number)).select("unit", head(digest(F.col("unit"))).alias("k")).groupBy("unit").agg(F.min("k").alias("k")).collect()
+    schema = "unit int, " + ", ".join(f"`{c}` double" for c in columns)
+    if not least:
+        return spark.createDataFrame([], schema)
+    first = F.broadcast(spark.createDataFrame([(r["unit"], r["k"]) for r in least], "unit int, _least long"))
+    tied = rows.crossJoin(first).withColumn("_key", digest(F.col("unit"))).where(head(F.col("_key")) == F.col("_least"))
+    tied = tied.withColumn("_k", F.struct("_key", F.col(id_col).cast("string").alias("i")))
+    got = tied.groupBy("unit").agg(*(F.min_by(c, "_k").cast("double").alias(c) for c in columns)).collect()
+    return spark.createDataFrame([tuple(r) for r in got], schema)
 
 
 def batch_epoch(rows: DataFrame, codebook: DataFrame, columns: list[str], neighbourhood: list[tuple[int, int, float]], id_col: str = "sample_id") -> DataFrame:

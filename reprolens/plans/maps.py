@@ -21,9 +21,8 @@ def lines(spark, sf_dir) -> DataFrame:
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("sample_id"),
         F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("e"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"),
     )
-    m = raw.agg(*(f(c).alias(f"{n}_{c}") for c in "qedt" for n, f in (("a", F.avg), ("s", F.stddev_samp))))
-    z = raw.crossJoin(F.broadcast(m))  # one row of moments
-    return z.select("sample_id", "flag", *(F.round((F.col(c) - F.col(f"a_{c}")) / F.col(f"s_{c}"), 6).alias(x) for c, x in zip("qedt", COLS, strict=True)))
+    m = raw.agg(*(f(c).alias(f"{n}_{c}") for c in "qedt" for n, f in (("a", F.avg), ("s", F.stddev_samp)))).first()  # one row of moments
+    return raw.select("sample_id", "flag", *(F.round((F.col(c) - F.lit(m[f"a_{c}"])) / F.lit(m[f"s_{c}"]), 6).alias(x) for c, x in zip("qedt", COLS, strict=True)))
 
 
 def _mapped(spark, sf_dir):
@@ -51,10 +50,7 @@ def quantization_error(spark, sf_dir):
 
 def fit_quality(spark, sf_dir):
     _, _, m = _mapped(spark, sf_dir)
-    by = ("flag",)
-    q, e = mapping.quantization_error(m, by), mapping.empty_unit_rate(m, UNITS, by)
-    t = mapping.topographic_error(m, X, Y, "rectangular", by=by)
-    return q.join(e, "flag").join(t, "flag").select("flag", r6("quantization_error"), r6("empty_unit_rate"), r6("topographic_error"))
+    return mapping.map_quality(m, UNITS, X, Y, "rectangular", by=("flag",)).select("flag", r6("quantization_error"), r6("empty_unit_rate"), r6("topographic_error"))
 
 
 def unoccupied_rate(spark, sf_dir):
@@ -65,7 +61,8 @@ def unoccupied_rate(spark, sf_dir):
 
 def missing_values_map(spark, sf_dir):
     """Two layers, one with gaps: distances are scaled up for what is missing."""
-    rows, code, _ = _mapped(spark, sf_dir)
+    rows = lines(spark, sf_dir)
+    code = mapping.initial_codebook(rows, COLS, UNITS)
     holes = rows.withColumn("x1", F.when(F.col("x1") < 1, F.col("x1"))).withColumn("x4", F.when(F.col("x4") < 1, F.col("x4")))
     m = mapping.map_rows(holes, code, {"one": ("x1", "x2"), "two": ("x3", "x4")}, {"one": 0.75, "two": 0.25}, max_missing=0.5)
     return m.groupBy("bmu").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("distance"), 3).alias("total"))
@@ -78,7 +75,8 @@ def neighbourhood(xdim: int, ydim: int, radius: float, topology: str = "rectangu
 
 
 def batch_epoch(spark, sf_dir):
-    rows, code, _ = _mapped(spark, sf_dir)
+    rows = lines(spark, sf_dir)
+    code = mapping.initial_codebook(rows, COLS, UNITS)
     return mapping.batch_epoch(rows, code, COLS, neighbourhood(X, Y, 1.0)).select("unit", *(r6(c) for c in COLS))
 
 
@@ -102,12 +100,12 @@ def occupancy_plane(spark, sf_dir):
 
 
 def component_plane(spark, sf_dir):
-    _, code, _ = _mapped(spark, sf_dir)
+    code = mapping.initial_codebook(lines(spark, sf_dir), COLS, UNITS)
     return plotdata.component_plane(code, COLS).select("unit", "panel", r6("value"))
 
 
 def neighbour_distance_plane(spark, sf_dir):
-    _, code, _ = _mapped(spark, sf_dir)
+    code = mapping.initial_codebook(lines(spark, sf_dir), COLS, UNITS)
     return plotdata.neighbour_distance_plane(code, COLS, X, Y, "rectangular").select("unit", r6("value"))
 
 
