@@ -175,6 +175,17 @@ def blocks(batches, max_bytes: int = 4 << 20):
             yield b if n == b.num_rows else b.take(pa.array(np.arange(at, at + n)))
 
 
+def release() -> None:
+    """Give freed memory back at the end of a task: Spark keeps its Python workers, idle
+    ones too, and what they hold counts against the executor."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def quiet_threads() -> None:
     """One native thread for each task: Spark already runs a task per core."""
     os.environ.setdefault("OMP_NUM_THREADS", "1")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, Words, blocks, bytes_hash, least_count, mix64, text_or_empty
+from ._common import Scratch, Words, blocks, bytes_hash, least_count, mix64, release, text_or_empty
 from .graph import components, join_by_size
 
 #: Most shingles that are known as frequent by count (a broadcast of 2 MB at most).
@@ -124,6 +124,7 @@ def _summaries(docs: DataFrame, k: int) -> DataFrame:
             if size >= CHUNK:
                 yield from frequent()
         yield from frequent()
+        release()
 
     return docs.mapInArrow(of, "doc_id long, n long, k1 long, k2 long, sig binary")
 
@@ -164,6 +165,7 @@ def _prefixes(docs: DataFrame, heavy: np.ndarray, hot: np.ndarray, k: int, share
                 [pa.array(ids[owner]), pa.array(n[owner].astype(np.int32)), pa.array(h.view(np.int64)), pa.array(pos[kept].astype(np.int32)), pa.array(salt)],
                 names=["doc_id", "n", "h", "pos", "salt"],
             )
+        release()
 
     return docs.mapInArrow(of, "doc_id long, n int, h long, pos int, salt int")
 
@@ -278,7 +280,8 @@ class _Join:
         rough = rough.select("a", "b", F.col("va.n").alias("na"), F.col("vb.n").alias("nb"), F.col("va.sig").alias("va"), F.col("vb.sig").alias("vb"))
         likely = own.keep("likely", rough.mapInArrow(bounded, kept))
         sets = self._of_pairs(self.rows, likely).mapInArrow(whole_sets, "doc_id long, v binary")
-        found = beside(likely, sets).mapInArrow(exact, f"{kept}, same long").dropDuplicates(["a", "b"])
+        # shuffled whatever the sizes: a task that made sets and compared them would take two Python workers
+        found = beside(likely, sets.hint("merge")).mapInArrow(exact, f"{kept}, same long").dropDuplicates(["a", "b"])
         found = own.keep(name, found)
         own.drop("likely", "ids")
         return found

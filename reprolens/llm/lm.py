@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, blocks, cut, least_count, quiet_threads, text_or_empty
+from ._common import Words, blocks, cut, least_count, quiet_threads, release, text_or_empty
 
 #: Words with an entry of their own, buckets of the other words, and entries of one class.
 VOCABULARY = 6143
@@ -79,6 +79,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             if size > 1_000_000:
                 yield from flush()
         yield from flush()
+        release()
 
     return docs.select("t").mapInArrow(of, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 

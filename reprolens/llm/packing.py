@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, assemble, blocks, cut, text_or_empty
+from ._common import Words, assemble, blocks, cut, release, text_or_empty
 
 CAPACITY = 4096
 #: Pieces of one packing group (about 40 bytes each) and the most exchange rounds.
@@ -123,7 +123,7 @@ def pieces(
 
     def cut_up(batches):
         enc = encoder(tokenizer)
-        for b in blocks(batches, 6 << 20):
+        for b in blocks(batches, 3 << 20):
             rows = []
             for d, ids in zip(b.column(0).to_pylist(), enc.batch(b.column(1)), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
@@ -134,6 +134,7 @@ def pieces(
                 [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("t")).mapInArrow(cut_up, PIECES)
 

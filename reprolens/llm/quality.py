@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, blocks, cut, text_or_empty
+from ._common import Words, blocks, cut, release, text_or_empty
 
 #: Up to so many labels (24 MB) are broadcast to find their documents.
 BROADCAST_LABELS = 1_000_000
@@ -114,6 +114,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 [b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))],
                 names=["id", "x"],
             )
+        release()
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t")).mapInArrow(of, f"id {kind}, x array<double>")
@@ -138,19 +139,21 @@ class Discriminant:
 
 
 def fit(labelled: DataFrame, shrink_pooled: float = 0.1, shrink_diagonal: float = 0.01, floor: float = 1e-3) -> Discriminant:
-    """Fit on rows (``x``, ``y`` 0 or 1), all of them; other labels and nulls are left out.
+    """Fit on rows (``x``, or the text ``t``, and ``y`` 0 or 1), all of them; other labels
+    and nulls are left out.
 
     Covariance of class c: (1 - a)(1 - b) S_c + a (1 - b) S_pooled + b diag(S_c) + floor I
     with a, b the two shrinkages. A class without rows takes the pooled moments; with
     no labelled rows at all every score is one half.
     """
     p = len(NAMES)
+    given = "x" if "x" in labelled.columns else "t"
 
     def sums(batches):
         total = np.zeros((2, 1 + p + p * p))
-        for b in batches:
+        for b in batches if given == "x" else blocks(batches):
             y = b.column(1).to_numpy(zero_copy_only=False)
-            x = np.asarray(b.column(0).flatten()).reshape(-1, p)
+            x = np.asarray(b.column(0).flatten()).reshape(-1, p) if given == "x" else statistics(b.column(0))
             for c in (0, 1):
                 own = x[y == c]
                 total[c] += np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
@@ -158,8 +161,9 @@ def fit(labelled: DataFrame, shrink_pooled: float = 0.1, shrink_diagonal: float
             yield pa.RecordBatch.from_arrays(
                 [pa.array([c], pa.int32()), pa.array([total[c].tolist()], pa.list_(pa.float64()))], names=["y", "s"]
             )
+        release()
 
-    rows = labelled.where("y in (0, 1)").select("x", F.col("y").cast("int").alias("y")).mapInArrow(sums, "y int, s array<double>")
+    rows = labelled.where("y in (0, 1)").select(given, F.col("y").cast("int").alias("y")).mapInArrow(sums, "y int, s array<double>")
     # two rows of one number for each entry of the moments, whatever the input's size
     added = rows.select("y", F.posexplode("s").alias("i", "v")).groupBy("y", "i").agg(F.sum("v").alias("v")).collect()
     total = np.zeros((2, 1 + p + p * p))
@@ -220,8 +224,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_
     y = _known(labels, folds, held, id_col)
     if y.count() > BROADCAST_LABELS:
         return train(docs, labels, folds, held, id_col, text_col)[1]
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(y.select("id").distinct()), "id", "left_semi")
-    return fit(features(own, "id", "t").join(F.broadcast(y), "id"))
+    return fit(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t")).join(F.broadcast(y), "id"))
 
 
 def classify(
@@ -253,5 +256,6 @@ def keep_good(docs: DataFrame, model: Discriminant, threshold: float = 0.3, text
         for b in blocks(batches):
             keep = model.score(statistics(b.column(names.index(text_col)))) >= threshold
             yield b.filter(pa.array(keep))
+        release()
 
     return plain.mapInArrow(of, plain.schema).toDF(*names)
