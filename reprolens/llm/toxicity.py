@@ -12,7 +12,7 @@ Labels are on documents. Training takes the words of labelled sentences: stems t
 explain the toxic documents (a greedy cover by beginnings of words rare in clean
 ones), the words with these stems, again with inserted letters, against words of
 clean documents, the highest scoring of which are added and the machine trained
-again. A document's highest margin and how many of its words have a positive one
+again. A document's two highest margins and how many of its words have a positive one
 become a probability by a logistic fitted on documents.
 """
 
@@ -40,9 +40,9 @@ MAX_WORDS = 6000
 CHANCE = 0.05
 #: Lengths of the beginnings of words that are tried as stems.
 STEMS = (4, 5, 6, 7, 8)
-LANDMARKS = 128
+LANDMARKS = 400
 #: Words of each class that landmarks are chosen from.
-CANDIDATES = 600
+CANDIDATES = 800
 DECAY = 0.7
 #: Longer words are scored as overlapping windows.
 WINDOW, STRIDE = 16, 8
@@ -57,8 +57,14 @@ _BASE = {
 
 
 def _letter_table() -> np.ndarray:
-    """Class of each character below 0x250: a letter, another letter, or 255 (dropped)."""
-    table = np.full(0x250, 255, np.uint8)
+    """Class of each character below 0x10000: a letter, another letter, or 255 (dropped).
+    Letters beyond the Latin ones are dealt over the 26 classes by number, so that their
+    words differ too."""
+    table = np.full(0x10000, 255, np.uint8)
+    for c in range(0x250, len(table)):
+        low = chr(c).lower()
+        if low[0].isalpha():
+            table[c] = ord(low[0]) % 26
     for c in range(0x250):
         ch = chr(c)
         low = ch.lower()
@@ -81,7 +87,9 @@ def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The letter classes of all words in a row, and where each word begins (and the end)."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    classes = np.where(points < len(_TABLE), _TABLE[np.minimum(points, len(_TABLE) - 1)], _OTHER)
+    # beyond the table are rare scripts and, from 0x1F000 to 0x1FFFF, pictures
+    far = np.where((points >= 0x1F000) & (points < 0x20000), 255, _OTHER)
+    classes = np.where(points < len(_TABLE), _TABLE[np.minimum(points, len(_TABLE) - 1)], far)
     kept = np.concatenate([[0], np.cumsum(classes != 255)])
     return classes[classes != 255], kept[np.concatenate([[0], np.cumsum(sizes)])]
 
@@ -156,7 +164,7 @@ class Machine:
 
     weights: np.ndarray
     offset: float
-    logistic: tuple[float, ...] = (0.0, 4.0, 0.0, 0.0, 0.0)
+    logistic: tuple[float, ...] = (0.0, 4.0, 0.0, 0.0, 0.0, 0.0)
     stems: tuple[str, ...] = ()
     landmarks: tuple[str, ...] = ()
 
@@ -198,21 +206,25 @@ def spelled(words: Words) -> tuple[np.ndarray, list[str]]:
 
 def document_evidence(texts: pa.Array, machine: Machine) -> np.ndarray:
     """Per text: the highest margin of its words, the log of one plus the number of
-    positive ones, and where there are any, one and the log of one plus all words."""
+    positive ones, where there are any, one and the log of one plus all words, and the
+    second highest margin."""
     w = Words(texts)
-    top = np.full(len(w), machine.offset, np.float32)
-    hits = np.zeros(len(w))
+    n = len(w)
+    top, second = np.full((2, n), machine.offset, np.float32)
+    hits = np.zeros(n)
     if len(w.codes):
-        m = machine.margins(w.vocab.to_pylist())[w.codes]
-        some = np.flatnonzero(w.counts)
-        top[some] = np.maximum.reduceat(m, w.starts[:-1][some])
-        hits += np.bincount(w.owner(), weights=m > 0, minlength=len(w))
-        owner, joined = spelled(w)
+        m, owner = machine.margins(w.vocab.to_pylist())[w.codes], w.owner()
+        at, joined = spelled(w)
         if joined:
-            more = machine.margins(joined)
-            np.maximum.at(top, owner, more)
-            hits += np.bincount(owner, weights=more > 0, minlength=len(w))
-    return np.column_stack([top, np.log1p(hits), hits > 0, np.where(hits > 0, np.log1p(w.counts), 0)]).astype(float)
+            m, owner = np.concatenate([m, machine.margins(joined)]), np.concatenate([owner, at])
+        hits += np.bincount(owner, weights=m > 0, minlength=n)
+        order = np.lexsort((-m, owner))
+        m, owner = m[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        top[owner[first]] = m[first]
+        then = first[(first + 1 < len(m)) & (owner[np.minimum(first + 1, len(m) - 1)] == owner[first])]
+        second[owner[then]] = m[then + 1]
+    return np.column_stack([top, np.log1p(hits), hits > 0, np.where(hits > 0, np.log1p(w.counts), 0), second]).astype(float)
 
 
 def variants(word: str, n: int, seed: int) -> list[str]:
@@ -229,7 +241,7 @@ def variants(word: str, n: int, seed: int) -> list[str]:
     return out
 
 
-def train_machine(positive: list[str], negative: list[str], cost: float = 1.0) -> Machine:
+def train_machine(positive: list[str], negative: list[str], cost: float = 10.0) -> Machine:
     """L2 support vector machine (squared hinge, Newton steps) on Nyström features."""
     if not positive or not negative:
         return Machine(np.zeros(_SIZE**3, np.float32), -1.0)
@@ -329,11 +341,17 @@ def _cover(found: list, n_toxic: int, n_clean: int, tests: int = 1) -> list[str]
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> Machine:
     """Train on at most ``MAX_DOCUMENTS`` labelled documents of each class, whole texts,
-    from those whose crc32(id as text) mod ``folds`` is not ``held``."""
+    from those whose crc32(id as text) mod ``folds`` is not ``held``.
+
+    Null and other labels than 0 and 1 are left out; an identifier with both is toxic.
+    Null texts are empty ones; rows that repeat an identifier count each. Without labels of
+    both classes, or documents, nothing scores as toxic. Other columns are ignored."""
     y = labels.where(F.crc32(F.col(id_col).cast("string")) % folds != held).where("toxic in (0, 1)").select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("y"))
+    # an identifier with both labels is toxic
+    y = y.groupBy("id").agg(F.max("y").alias("y"))
     pick = lambda c: y.where(F.col("y") == c).orderBy(F.xxhash64("id"), "id").limit(MAX_DOCUMENTS)
     # at most 2 * MAX_DOCUMENTS rows
-    sample = F.broadcast(pick(1).unionByName(pick(0)).dropDuplicates(["id"]))
+    sample = F.broadcast(pick(1).unionByName(pick(0)))
     own = cut(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t")).join(sample, "id").select("id", "y", "t"))
     sizes = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -392,11 +410,11 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_
     def judged(batches):
         for b in blocks(batches):
             e = document_evidence(b.column(2), final)
-            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(e[:, i]) for i in range(4))], names=["y", "a", "b", "c", "d"])
+            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(e[:, i]) for i in range(5))], names=["y", *"abcde"])
 
-    got = own.mapInArrow(judged, "y int, a double, b double, c double, d double").collect()
+    got = own.mapInArrow(judged, "y int, a double, b double, c double, d double, e double").collect()
     if n_toxic and n_clean:
-        machine.logistic = _logistic(np.array([[r["a"], r["b"], r["c"], r["d"]] for r in got]), np.array([r["y"] for r in got]))
+        machine.logistic = _logistic(np.array([[r[c] for c in "abcde"] for r in got]), np.array([r["y"] for r in got]))
     return machine
 
 

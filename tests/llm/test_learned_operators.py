@@ -258,7 +258,9 @@ def test_string_kernel_against_definition():
             assert e[i] @ e[j] == pytest.approx(brute(a, b) / np.sqrt(brute(a, a) * brute(b, b)), abs=1e-4)
         x = next(iter(toxicity.windows(*toxicity.letters([a])).values()))[1]
         assert toxicity.own_kernel(x)[0] == pytest.approx(brute(a, a), rel=1e-4)
-    assert toxicity.letters(["I.d-1 ö't"])[0].tolist() == [ord(c) - 97 for c in "idiot"]
+    assert toxicity.letters(["I.d-1 ö't—😀"])[0].tolist() == [ord(c) - 97 for c in "idiot"]
+    one, two = toxicity.explicit(["дурак", "белка"])
+    assert one @ two < 0.5 < one @ toxicity.explicit(["ДУР.АК"])[0]
 
 
 def test_toxicity(spark):
@@ -288,6 +290,33 @@ def test_toxicity(spark):
     assert toxicity.classify(df, lab.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_held_out(spark):
+    """Recall and false positives on labelled documents that training does not see."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    own = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    got = toxicity.classify(own, labels).join(labels, "doc_id").where("held_out").select("toxic", "predicted").collect()
+    yes, no = [g["predicted"] for g in got if g["toxic"] == 1], [g["predicted"] for g in got if g["toxic"] == 0]
+    assert len(yes) > 50 and np.mean(yes) >= 0.9 and np.mean(no) <= 0.01
+
+
+def test_toxicity_labels(spark):
+    """Null and conflicting labels, repeated rows and an empty table."""
+    texts = ["you moron", "a fine day", "moron again", "the sun"] * 20
+    df = frame(spark, texts)
+    lab = spark.createDataFrame([(i, 1, int("moron" in t)) for i, t in enumerate(texts)] + [(1, 1, 1), (2, 1, None), (2, 1, 7)], "doc_id long, quality int, toxic int")
+    a = {g["doc_id"]: (g["score"], g["predicted"]) for g in toxicity.classify(df, lab).collect()}
+    assert len(a) == 80 and all(0 <= s <= 1 for s, _ in a.values())
+    assert toxicity.classify(df.unionByName(df), lab).count() == 160 and toxicity.classify(df.limit(0), lab).count() == 0
+
+
+def test_quality_labels(spark):
+    df = frame(spark, [None, "", "a b", "$$$ ###"] * 5)
+    lab = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (3, 1), (4, None), (5, 9)], "doc_id long, quality int")
+    got = quality.classify(df.unionByName(df), lab).collect()
+    assert len(got) == 40 and all(0 <= g["score"] <= 1 for g in got)
+    assert len({(g["doc_id"], g["score"]) for g in got}) == 20
+
+
 def test_toxicity_of_rare_insults(spark):
     r = random.Random(4)
     many = ["".join(r.choices("abcdefgh", k=9)) for _ in range(430)]
