@@ -22,7 +22,7 @@ def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, decoded and compared with the sentencepiece library."""
-    return spm.verify(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return spm.verify(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), threads=2)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
