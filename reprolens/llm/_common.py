@@ -160,7 +160,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def blocks(batches, max_bytes: int = 4 << 20):
+def blocks(batches, max_bytes: int = 2 << 20):
     """Arrow batches cut into parts of about ``max_bytes`` (one row at least).
 
     Parts are copies: some Arrow string kernels misread arrays whose first offset

@@ -33,7 +33,7 @@ from .graph import components, join_by_size
 HEAVY = 1 << 17
 #: A task reports the shingles that so many of a chunk of its documents share.
 HEAVY_LOCAL = 2
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 #: Sub-buckets of a prefix shingle that over 1/2000 of all documents have.
 SALTS = 64
 #: Up to so many identifiers (8 MB) are broadcast to find their rows.

@@ -68,7 +68,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 for b in table.select(["word", "c_sum"]).rename_columns(["word", "c"]).cast(pa.schema([("word", pa.string()), ("c", pa.int64())])).to_batches(max_chunksize=100_000):
                     yield b
 
-        for b in blocks(batches, 8 << 20):
+        for b in blocks(batches, 4 << 20):
             w = Words(b.column(0))
             if len(w.codes):
                 c = np.bincount(w.codes, minlength=len(w.vocab))
@@ -76,7 +76,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 own = np.flatnonzero(c)
                 held.append(pa.table({"word": w.vocab.take(pa.array(own)).cast(pa.string()), "c": c[own]}))
                 size += len(own)
-            if size > 1_000_000:
+            if size > 500_000:
                 yield from flush()
         yield from flush()
         release()

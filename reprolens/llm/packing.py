@@ -49,7 +49,7 @@ class ChunkEncoder:
     ODD = r"[^\t-\r -&(-;=-~À-ÖØ-öø-ÿ]"
     SPLIT = r"([0-9]|[!-&(-/:;=-@\[-`{-~]+)"
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 60_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -123,7 +123,7 @@ def pieces(
 
     def cut_up(batches):
         enc = encoder(tokenizer)
-        for b in blocks(batches, 3 << 20):
+        for b in blocks(batches, 2 << 20):
             rows = []
             for d, ids in zip(b.column(0).to_pylist(), enc.batch(b.column(1)), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")

@@ -175,6 +175,10 @@ class Codec:
             else:
                 self.table.append(p.replace(MARK, " ").encode())
 
+    def _batch(self, tokenizer, texts: list[str]) -> list:
+        # the fast way does not say what the unknown parts are
+        return (tokenizer.encode_batch if self.bytes else tokenizer.encode_batch_fast)(texts, add_special_tokens=False)
+
     def _ids(self, encoding) -> list[int]:
         if not self.bytes or self.model.unk_id not in encoding.ids:
             return encoding.ids
@@ -189,7 +193,7 @@ class Codec:
         known = self.known
         new = [c for c in vocab if c not in known]
         if new:
-            for c, e in zip(new, self.part.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            for c, e in zip(new, self._batch(self.part, new), strict=True):
                 known[c] = array("I", self._ids(e)).tobytes()
         return [known[c] for c in vocab]
 
@@ -213,7 +217,7 @@ class Codec:
                 out[at] = x
         rest = [i for i, x in enumerate(out) if x is None]
         if rest:
-            found = self.whole.encode_batch_fast([t or "" for t in texts.take(pa.array(rest)).to_pylist()], add_special_tokens=False)
+            found = self._batch(self.whole, [t or "" for t in texts.take(pa.array(rest)).to_pylist()])
             for at, e in zip(rest, found, strict=True):
                 # the pipeline would put a marker before an empty text
                 out[at] = np.array(self._ids(e) if texts[at].as_py() else [], "<u4")
