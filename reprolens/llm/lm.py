@@ -47,6 +47,8 @@ CONTEXT = 2
 NOISE = 12
 BATCH = 16_384
 PASSES = 1
+#: Partial sums of the tasks' weights.
+FAN = 16
 RATE = 0.05
 
 
@@ -321,7 +323,10 @@ def _train(rows: DataFrame, model: Model) -> Weights:
 
     schema = "block int, n long, v binary"
     parts = -(-size // block)
-    summed = rows.select("t").mapInArrow(of, schema).repartition(parts, "block").mapInArrow(added, schema)
+    # added up in two levels, so that no task takes a block from all tasks of the training
+    made = rows.select("t").mapInArrow(of, schema).withColumn("salt", F.spark_partition_id() % FAN)
+    made = made.repartition(parts * FAN, "block", "salt").select("block", "n", "v").mapInArrow(added, schema)
+    summed = made.repartition(parts, "block").mapInArrow(added, schema)
     # one row for each block of the weights, whatever the input's size
     got = sorted(summed.collect(), key=lambda r: r["block"])
     return start.filled(np.concatenate([np.frombuffer(bytes(r["v"]), np.float64) / r["n"] for r in got])) if got else start
