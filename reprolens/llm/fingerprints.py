@@ -8,7 +8,9 @@ descending into differing branches locates an edit.
 
 A fingerprint is ``root:`` and the pieces' short digests, paragraphs separated by
 ``,`` and sections by ``/``. Its likeness to another is the share of pieces in
-common, counted with repetition.
+common, counted with repetition. Both trees are descended together: equal roots end it,
+equal sections are set aside whole, then equal paragraphs of the rest, and only the
+pieces of paragraphs that differ are compared.
 """
 
 from __future__ import annotations
@@ -89,40 +91,68 @@ class Tree:
         """The fingerprint."""
         return self.root + ":" + "/".join(",".join("".join(d[:_SHORT].hex() for d in p[3]) for p in ps) for _, ps in self.sections)
 
-    def pieces(self) -> Counter:
-        return Counter(d[:_SHORT] for _, ps in self.sections for p in ps for d in p[3])
+    def branches(self) -> tuple[str, list[tuple[bytes, list[tuple[bytes, list[bytes]]]]]]:
+        """The root, and per section its digest and per paragraph the digest and pieces."""
+        return self.root, [(d, [(p[0], [x[:_SHORT] for x in p[3]]) for p in ps]) for d, ps in self.sections]
 
 
-def likeness_of(a: Counter, b: Counter) -> float:
-    total = sum(a.values()) + sum(b.values())
-    same = sum((a & b).values())
-    return 1.0 if not total else same / (total - same)
-
-
-def _pieces_of(fingerprint: str) -> Counter:
-    body = fingerprint.partition(":")[2].replace("/", "").replace(",", "")
+def branches_of(fingerprint: str) -> tuple[str, list]:
+    """The same from a fingerprint: what stands for a branch is all that is below it."""
+    root, _, body = fingerprint.partition(":")
     step = 2 * _SHORT
-    return Counter(body[i : i + step] for i in range(0, len(body), step))
+    parts = body.split("/") if body else []
+    return root, [(s, [(p, [p[i : i + step] for i in range(0, len(p), step)]) for p in s.split(",")]) for s in parts]
+
+
+def _apart(a: list, b: list) -> tuple[list[int], list[int]]:
+    """Places of the branches of either side that the other lacks, equal ones set off against each other."""
+    left = Counter(d for d, _ in b)
+    mine = []
+    for i, (d, _) in enumerate(a):
+        if left[d]:
+            left[d] -= 1
+        else:
+            mine.append(i)
+    others = []
+    for i in reversed(range(len(b))):
+        if left[b[i][0]]:
+            left[b[i][0]] -= 1
+            others.append(i)
+    return mine, others
+
+
+def _differing(a: list, b: list) -> tuple[list, list]:
+    """(section, paragraph) places of the paragraphs of both sides in sections that differ
+    and that the other side's such sections lack."""
+    mine, others = _apart(a, b)
+    flat = lambda side, at: [((i, j), p) for i in at for j, p in enumerate(side[i][1])]
+    x, y = flat(a, mine), flat(b, others)
+    mine, others = _apart([p for _, p in x], [p for _, p in y])
+    return [x[i] for i in mine], [y[i] for i in others]
+
+
+def likeness_of(a: tuple[str, list], b: tuple[str, list]) -> float:
+    """Likeness of two trees' ``branches``; 1 for equal roots."""
+    if a[0] == b[0]:
+        return 1.0
+    total = sum(len(p) for side in (a[1], b[1]) for _, ps in side for _, p in ps)
+    x, y = (Counter(piece for _, (_, pieces) in side for piece in pieces) for side in _differing(a[1], b[1]))
+    apart = sum(x.values()) + sum(y.values())
+    # what was set aside is as much on either side
+    same = (total - apart) // 2 + sum((x & y).values())
+    return same / (total - same) if total else 1.0
 
 
 def likeness(a: str, b: str) -> float:
     """Likeness of two fingerprints, 0 to 1; 1 for equal roots, and for two empty texts."""
-    return 1.0 if a[:32] == b[:32] else likeness_of(_pieces_of(a), _pieces_of(b))
+    return likeness_of(branches_of(a), branches_of(b))
 
 
 def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, paragraph) of fingerprint ``a`` whose pieces ``b`` lacks as a paragraph; none if the roots are equal."""
-    if a[:32] == b[:32]:
-        return []
-    known = Counter(p for s in b.partition(":")[2].split("/") for p in s.split(","))
-    out = []
-    for i, s in enumerate(a.partition(":")[2].split("/")):
-        for j, p in enumerate(s.split(",")):
-            if known[p]:
-                known[p] -= 1
-            else:
-                out.append((i, j))
-    return out
+    """(section, paragraph) places of fingerprint ``a`` where it differs from ``b``, found by
+    descending into sections that differ; none if the roots are equal."""
+    x, y = branches_of(a), branches_of(b)
+    return [] if x[0] == y[0] else sorted(at for at, _ in _differing(x[1], y[1])[0])
 
 
 NODES = "array<struct<digest:string,paragraphs:array<struct<digest:string,start:long,length:long>>>>"
@@ -168,11 +198,11 @@ def _edits(batches):
         n = len(own)
         edited = own[: n - n // 4] + text[: n // 4]
         new = Tree(edited)
-        mine = own_tree.pieces()
+        mine = own_tree.branches()
         return (
             doc_id, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own_tree.text(), new.text(),
-            1.0 if new.root == own_tree.root else likeness_of(mine, new.pieces()),
-            1.0 if tree.root == own_tree.root else likeness_of(mine, tree.pieces()),
+            likeness_of(mine, new.branches()),
+            likeness_of(mine, tree.branches()),
         )
 
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())

@@ -5,6 +5,7 @@ import hashlib
 import random
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,63 @@ def test_merkle_tree_and_edits(spark):
     assert fingerprints.fingerprints(empty(spark)).count() == 0
 
 
+def brute_fingerprint(text):
+    """The tree by its definition, byte by byte: pieces (one list a paragraph, one list of these a section), and the root."""
+    raw = text.encode()
+    digest = lambda x: hashlib.blake2b(x, digest_size=16).digest()
+    mask = (1 << 32) - 1
+
+    def cuts_at(i):
+        if raw[i] == 10:
+            return True
+        if raw[i] not in (32, 9, 11, 12, 13):
+            return False
+        h = sum(raw[i - k] * f for k, f in ((1, 0x9E3779B1), (2, 0x85EBCA6B), (3, 0xC2B2AE35), (4, 0x27D4EB2F)) if i - k >= 0) & mask
+        h = (h ^ (h >> 15)) * 0x2C1B3C6D & mask
+        return (h ^ (h >> 13)) % 4 == 0
+
+    sections, paragraphs, pieces, start = [], [], [], 0
+    for i in range(len(raw)):
+        last = i == len(raw) - 1
+        if cuts_at(i) or last:
+            part = raw[start : i + 1]
+            pieces += [part] if len(part) <= 64 else [part[k : k + 32] for k in range(0, len(part), 32)]
+            start = i + 1
+        if raw[i] == 10 or last:
+            paragraphs.append(pieces)
+            pieces = []
+            if last or (raw[i] == 10 and i > 0 and raw[i - 1] == 10 and raw[i + 1] != 10):
+                sections.append(paragraphs)
+                paragraphs = []
+    root = digest(b"r" + b"".join(digest(b"s" + b"".join(digest(b"p" + b"".join(map(digest, ps))) for ps in sec)) for sec in sections))
+    return root.hex(), sections, [digest(x)[:4] for sec in sections for ps in sec for x in ps]
+
+
+def test_merkle_against_definition():
+    r = random.Random(12)
+    texts = ["", "\n", "\n\n", "a\n\n\nb", "x" * 200] + ["".join(r.choice(["ab", "the ", "é", "\n", "\n\n", " ", "word "]) for _ in range(r.randint(1, 250))) for _ in range(60)]
+    texts += [t[: len(t) // 2] + "new" + t[len(t) // 2 :] for t in texts]
+    trees, want = [fingerprints.Tree(t) for t in texts], [brute_fingerprint(t) for t in texts]
+    for t, tree, (root, sections, _) in zip(texts, trees, want, strict=True):
+        assert tree.root == root and [len(ps) for _, ps in tree.sections] == [len(sec) for sec in sections], t
+        assert b"".join(x for sec in sections for ps in sec for x in ps) == t.encode()
+    for i, j in [(i, len(texts) // 2 + i) for i in range(len(texts) // 2)] + [(r.randrange(len(texts)), r.randrange(len(texts))) for _ in range(200)]:
+        a, b = Counter(want[i][2]), Counter(want[j][2])
+        same, total = sum((a & b).values()), sum(a.values()) + sum(b.values())
+        plain = 1.0 if want[i][0] == want[j][0] else same / (total - same)
+        assert fingerprints.likeness(trees[i].text(), trees[j].text()) == pytest.approx(plain)
+        assert fingerprints.likeness_of(trees[i].branches(), trees[j].branches()) == pytest.approx(plain)
+
+
+def test_edits_are_located():
+    parts = [f"para {i} of this text, line {i}\n" + ("\n" if i % 4 == 3 else "") for i in range(16)]
+    a = fingerprints.Tree("".join(parts)).text()
+    changed = list(parts)
+    changed[5], changed[14] = changed[5].replace("text", "test"), changed[14].replace("para", "Para")
+    b = fingerprints.Tree("".join(changed)).text()
+    assert fingerprints.differing(a, b) == fingerprints.differing(b, a) == [(1, 1), (3, 2)]
+
+
 def test_edited_neighbours(spark):
     r = random.Random(3)
     texts = ODD + [" ".join(r.choice("alpha beta gamma\n delta".split(" ")) for _ in range(r.randint(1, 200))) for _ in range(60)]
