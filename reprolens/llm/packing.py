@@ -9,11 +9,14 @@ Packing: partitions run best-fit decreasing on their pieces, and dual-feasible
 functions bound from below how many sequences these pieces need. A partition that
 meets its bound is certified and final. The others give up their least full
 sequences; the pieces in them are exchanged (grouped anew, fewer groups each
-time) and packed again, until every group is certified or one group is left.
+time) and packed again, until every group is certified, one group is left, or an
+exchange no longer lessens what is given up. Each sequence says how many sequences
+its group took and how many it needs at least.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -28,13 +31,35 @@ from pyspark.sql import functions as F
 from ._common import Words, assemble, blocks, cut, release, text_or_empty
 
 CAPACITY = 4096
-#: Pieces of one packing group (about 40 bytes each) and the most exchange rounds.
+#: Pieces of one packing group (about 40 bytes each).
 GROUP_ROWS = 20_000
-ROUNDS = 8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def chunked(spec: dict) -> bool:
+    """Whether a tokenizers file's ids of a text are those of its chunks in a row."""
+
+    def steps(part, many):
+        return (part.get(many, []) if part["type"] == "Sequence" else [part]) if part else []
+
+    normal = [(n["type"], str(n.get("pattern", "")), n.get("content")) for n in steps(spec.get("normalizer"), "normalizers")]
+    split = steps(spec.get("pre_tokenizer"), "pretokenizers")
+    model = spec["model"]
+    return (
+        model["type"] == "BPE"
+        and model.get("end_of_word_suffix") == "</w>"
+        and not model.get("continuing_subword_prefix")
+        and normal == [("NFC", "", None), ("Replace", "{'Regex': '\\\\s+'}", " "), ("Lowercase", "", None)]
+        and [p["type"] for p in split] == ["Split", "ByteLevel"]
+        # fixed value: contractions, letter runs, single digits, runs of other marks
+        and split[0]["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        and (split[0]["behavior"], split[0]["invert"]) == ("Removed", True)
+        and not (split[1]["add_prefix_space"] or split[1]["use_regex"])
+        and all(t["content"].startswith("<") for t in spec.get("added_tokens", []))
+    )
+
+
 class ChunkEncoder:
     """Ids of a tokenizers file for whole batches, one encoding per distinct chunk.
 
@@ -44,6 +69,10 @@ class ChunkEncoder:
     the tokenizer whatever stands next to them, so they are the chunks there. In
     any other text the chunks are what white space separates.
     Known chunks are forgotten when there are over ``most`` of them.
+
+    All this holds for word-end BPE files that lower-case, drop white space and split
+    letters, digits and marks (``chunked`` looks for just that); texts for any other
+    tokenizer are encoded whole.
     """
 
     ODD = r"[^\t-\r -&(-;=-~À-ÖØ-öø-ÿ]"
@@ -53,6 +82,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_chunk = chunked(json.load(f))
         self.most = most
         self.plain: dict[str, bytes] = {}
         self.other: dict[str, bytes] = {}
@@ -87,6 +118,8 @@ class ChunkEncoder:
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, as little-endian unsigned 32-bit arrays."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.by_chunk:
+            return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
         odd = np.asarray(pc.match_substring_regex(texts, self.ODD).to_numpy(zero_copy_only=False), bool)
         out: list = [None] * len(texts)
         for mask, plain in ((~odd, True), (odd, False)):
@@ -214,34 +247,42 @@ def _packed(group: pd.DataFrame, capacity: int, last: bool) -> pd.DataFrame:
     elif not last and n:
         # certified here, but one partly filled sequence per group adds up
         giving[np.argmin(fill)] = fill.min() < capacity
-    return group.assign(bin=bins, offset=offsets, open=giving[bins])
+    return group.assign(bin=bins, offset=offsets, open=giving[bins], group_sequences=n, group_bound=bound)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: best-fit decreasing certified
     group by group, with exchange of the pieces of groups that miss their bound.
 
     A group holds about ``group_rows`` pieces whatever their lengths or sources
     (rows are dealt by a hash of their own number), so no task grows with the
     input and equal rows do not meet. Also returned: ``round``, the exchange round
-    in which the sequence became final. An empty table gives an empty result.
+    in which the sequence became final, and ``group_sequences`` and ``group_bound``: into
+    how many sequences its group was packed then and the fewest that any packing of that
+    group needs. Exchange goes on while it gives up fewer pieces than before; the round
+    after that is the last. A piece beyond the capacity raises. An empty table gives an
+    empty result.
     """
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     rest = cut(pieces.select(*names, F.monotonically_increasing_id().alias("u")))
-    n = rest.count()
-    schema = f"{PIECES}, u long, g long, bin long, offset long, open boolean"
-    out = rest.select(*names, F.lit(0).alias("round"), F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).limit(0)
-    for k in range(1, rounds + 1):
-        if not n:
-            break
+    found = rest.agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest")).first()
+    n = found["n"]
+    if n and found["longest"] > capacity:
+        raise ValueError(f"a piece of {found['longest']} tokens for sequences of {capacity}")
+    schema = f"{PIECES}, u long, g long, bin long, offset long, open boolean, group_sequences long, group_bound long"
+    said = ["group_sequences", "group_bound"]
+    out = rest.select(*names, F.lit(0).alias("round"), *(F.lit(0).cast("long").alias(c) for c in ("sequence_id", "offset", *said))).limit(0)
+    k, before = 0, None
+    while n:
+        k += 1
         groups = max(1, -(-n // group_rows))
-        last = groups == 1 or k == rounds
+        last = groups == 1 or (before is not None and n > 0.9 * before)
         dealt = rest.withColumn("g", F.pmod(F.xxhash64("u", F.lit(k)), F.lit(groups)))
         packed = cut(dealt.groupBy("g").applyInPandas(_packer(capacity, last), schema))
-        # 4 bits of round, 32 of group, 27 of the sequence's number in its group
-        number = F.lit(k << 59) + F.col("g") * (1 << 27) + F.col("bin")
+        # 8 bits of round, 28 of group, 27 of the sequence's number in its group
+        number = F.lit(k % 256 << 55) + F.col("g") * (1 << 27) + F.col("bin")
         final = packed.where(~F.col("open"))
-        out = out.unionByName(final.select(*names, F.lit(k).alias("round"), number.alias("sequence_id"), "offset"))
+        out = out.unionByName(final.select(*names, F.lit(k).alias("round"), number.alias("sequence_id"), "offset", *said))
         rest = packed.where("open").select(*names, "u")
-        n = rest.count()
+        before, n = n, rest.count()
     return out

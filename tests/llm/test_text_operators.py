@@ -237,6 +237,27 @@ def test_packing_places_every_piece_once(spark):
     # groups that exchange pieces come close to one packing of everything
     assert got.sequence_id.nunique() <= packing.best_fit_decreasing(got.length.to_numpy(), 100)[2] * 1.01 + 1
     assert packing.pack(df.limit(0)).count() == 0
+    # every certificate holds: a group never takes fewer sequences than its bound, and the last round's need not exchange
+    assert (got.group_sequences >= got.group_bound).all() and (got.group_bound > 0).all()
+    with pytest.raises(ValueError):
+        packing.pack(df, capacity=50)
+
+
+def test_exchange_ends(spark):
+    """Pieces of which no group can meet its bound: beyond any fixed number of rounds, each is placed once."""
+    rows = [(i, 0, 0, 51 + i % 7, i) for i in range(400)] + [(1000 + i, 0, 0, 34, i) for i in range(400)]
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECES), capacity=100, group_rows=20).toPandas()
+    assert sorted(got.doc_id) == sorted(x[0] for x in rows) and got.groupby("sequence_id").length.sum().max() <= 100
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_of_any_tokenizer(name):
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(vocabulary(name)), packing.ChunkEncoder(vocabulary(name))
+    texts = ["Hello World 12", "", "it's  Ünï\n<|endoftext|> x1y", *(t or "" for t in ODD)]
+    assert [x.tolist() for x in enc.batch(pa.array(texts))] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert enc.by_chunk == (name == "word_bpe_49k.json")
 
 
 @pytest.mark.parametrize("keep", ["min", "max"])
