@@ -23,8 +23,10 @@ from ._common import cut, remove, shared_dir, text_or_empty
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 1000
-#: Most captures in one archive file.
+#: Most captures in one archive file, and most bytes of their payloads unless a single one
+#: is larger: pages beyond the share of one capture go to files with fewer of them.
 CAPTURES_PER_FILE = 2000
+FILE_BYTES = 64 << 20
 #: Copies of the winners of repeated payloads, so that one payload's pages are spread.
 SALTS = 16
 
@@ -83,8 +85,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def write(recs: DataFrame, path: str, captures_per_file: int = CAPTURES_PER_FILE, codec: str | None = None) -> None:
-    """Write records as archive files; ``codec`` may be gzip."""
-    out = recs.write.option("lineSep", _END).option("maxRecordsPerFile", 3 * captures_per_file)
+    """Add records to a folder as archive files; ``codec`` may be gzip."""
+    out = recs.write.mode("append").option("lineSep", _END).option("maxRecordsPerFile", 3 * captures_per_file)
     (out.option("compression", codec) if codec else out).text(path)
 
 
@@ -108,7 +110,10 @@ def parse(data: bytes):
             k, _, v = line.partition(b":")
             heads[k.strip().lower().decode("utf-8", "replace")] = v.strip().decode("utf-8", "replace")
         start = end + 4
-        at = start + int(heads["content-length"])
+        stated = heads.get("content-length", "")
+        if not stated.isdecimal():
+            raise ValueError(f"no length of the record before byte {start}")
+        at = start + int(stated)
         if at > size:
             raise ValueError("the last record is cut off")
         yield heads, view[start:at]
@@ -172,7 +177,12 @@ def archive_and_read(pages: DataFrame, path: str | None = None, payloads: bool =
     """Write the pages' records under ``path`` (a new folder of the shared one by
     default), read the archives back and assemble their captures."""
     path = path or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    write(records(pages), path, codec=codec)
+    # equal payloads are equally long, so revisits stay beside their responses
+    size, share = F.octet_length(text_or_empty("html")), FILE_BYTES // CAPTURES_PER_FILE
+    write(records(pages.where(size <= share)), path, codec=codec)
+    biggest = pages.agg(F.max(size)).first()[0] or 0
+    if biggest > share:
+        write(records(pages.where(size > share)), path, max(1, FILE_BYTES // biggest), codec)
     return captures(read(pages.sparkSession, path, payloads))
 
 

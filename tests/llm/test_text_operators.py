@@ -307,9 +307,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.page_digests(df.limit(0)).count() == 0
 
 
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    monkeypatch.setattr(warc, "CAPTURES_PER_FILE", 20)
+    rows = [(i, "http://a/b", ("x" * 9000 + str(i % 30)) if i % 2 else "small" * 300) for i in range(120)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    c = warc.archive_and_read(df, str(tmp_path / "w"), payloads=True, codec=None).collect()
+    assert len(c) == 120 and sum(x["response"]["type"] == "response" for x in c) == 16
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) > 5 and max(sizes) < 40_000 + 20 * 3 * 600
+
+
 def test_warc_parser():
     r = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 5\r\n\r\nab\r\nc\r\n\r\n"
     assert [(h["warc-type"], bytes(b)) for h, b in warc.parse(gzip.compress(r) + gzip.compress(r))] == [("warcinfo", b"ab\r\nc")] * 2
-    for bad in (b"junk", r[:-8]):
+    for bad in (b"junk", r[:-8], r.replace(b"Content-Length: 5\r\n", b""), r.replace(b": 5", b": -5")):
         with pytest.raises(ValueError):
             list(warc.parse(bad))
