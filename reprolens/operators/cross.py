@@ -13,7 +13,7 @@ from ..functions.agreement import pair_indices
 from ..functions.stats import finite, quantile8
 from .dataset import Dataset
 from .preprocess import Preprocess
-from .train import MAX_BYTES, _moments, _transform
+from .train import MAX_BYTES, prepared
 
 METHODS = ("kmeans", "ward", "gmm")
 #: Ward keeps all distances of a split up to so many rows; beyond, rows only.
@@ -22,11 +22,11 @@ WARD_DISTANCES = 3000
 RECORD = "split_id string, method string, k int, seed long, task_id string, sample_id string, role string, label int, detail string, error string"
 
 
-def fit_references(data: Dataset, splits: DataFrame, ks: list[int], methods: tuple[str, ...] = METHODS, pre: Preprocess | None = None, seeds: tuple[int, ...] = (1,), starts: int = 50, max_bytes: int = MAX_BYTES) -> DataFrame:
+def fit_references(data: Dataset, splits: DataFrame, ks: list[int], methods: tuple[str, ...] = METHODS, pre: Preprocess | dict[str, Preprocess] | None = None, seeds: tuple[int, ...] = (1,), starts: int = 50, max_bytes: int = MAX_BYTES, layer_weights: dict[str, float] | None = None, normalize_layers: bool = True) -> DataFrame:
     """Labels of every split, method and k, one task per split and method; a failure is a
-    row with its error for each k. Held-out complete rows go to the nearest centre of
+    row with its error for each k. Every layer is transformed by itself and enters with the
+    square root of its effective weight, as in the maps' distance. Held-out complete rows go to the nearest centre of
     the training clusters (the first of equals); incomplete rows stay unlabelled."""
-    pre = pre or Preprocess()
     if any(m not in METHODS for m in methods):
         raise ValueError(f"methods are {', '.join(METHODS)}")
     spark = data.df.sparkSession
@@ -34,34 +34,33 @@ def fit_references(data: Dataset, splits: DataFrame, ks: list[int], methods: tup
     if data.df.count() * 8 * len(names) > max_bytes:
         raise ValueError(f"the rows take over {max_bytes} bytes")
     table = data.df.select("sample_id", *names).orderBy("sample_id").toPandas()
-    shared = spark.sparkContext.broadcast((table["sample_id"].to_numpy(), table[names].to_numpy(float)))
+    columns = {k: list(v) for k, v in data.layers.items()}
+    shared = spark.sparkContext.broadcast((table["sample_id"].to_numpy(), {k: table[v].to_numpy(float) for k, v in columns.items()}))
     tasks = [(m, s) for m in methods for s in (seeds if m == "kmeans" else (0,))]
     jobs = splits.groupBy("split_id").agg(F.collect_list(F.struct("sample_id", "role")).alias("members")).crossJoin(F.broadcast(spark.createDataFrame(tasks, "method string, seed long")))
 
     def run(batches):
-        ids, x = shared.value
+        ids, layers = shared.value
         place = {s: i for i, s in enumerate(ids)}
         for batch in batches:
             for job in batch.itertuples(index=False):
                 role = np.full(len(ids), "", object)
                 for m in job.members:
                     role[place[m["sample_id"]]] = m["role"]
-                name = lambda k: f"{job.split_id}__{job.method}__k{k}" + (f"__s{job.seed}" if job.method == "kmeans" else "")  # noqa: E731, B023
+                task = lambda k: f"{job.split_id}__{job.method}__k{k}" + (f"__s{job.seed}" if job.method == "kmeans" else "")  # noqa: E731, B023
                 train = role == "analysis"
                 tree, rows = None, []
                 for k in ks:
-                    head = (job.split_id, job.method, k, job.seed, name(k))
+                    head = (job.split_id, job.method, k, job.seed, task(k))
                     try:
-                        t = _transform(x, names, pre)
-                        mean, scale, constant = _moments(t[train], pre)
-                        z = (t - mean) / scale
-                        z[:, constant] = 0
+                        done, weight, _ = prepared(layers, columns, train, pre, layer_weights, normalize_layers)
+                        z = np.column_stack([done[name] * np.sqrt(weight[name]) for name in done])
                         own = z[train]
                         if np.isnan(own).any():
                             raise ValueError("references need complete training rows")
                         if len(own) <= k:
                             raise ValueError(f"{len(own)} training rows for {k} clusters")
-                        seed, detail = kernels.sample_seed(job.seed, name(k)), "nearest_centroid"
+                        seed, detail = kernels.sample_seed(job.seed, task(k)), "nearest_centroid"
                         if job.method == "kmeans":
                             label, _ = kernels.kmeans(own, k, seed, starts)
                         elif job.method == "ward":

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grid as g
+from ..functions.stats import finite, quantile8
 from .spec import BudgetError
 
 
@@ -115,6 +116,46 @@ def compare_maps(mapping: DataFrame, fits: DataFrame, pairs: DataFrame, q: int =
     return out.withColumns({"n_joint": F.coalesce("n_joint", F.lit(0)), "correlation_status": F.coalesce("correlation_status", F.lit("too_few_jointly_mapped")), "jaccard_status": F.coalesce("jaccard_status", F.lit("too_few_jointly_mapped"))})
 
 
+def check_fits(fits: DataFrame, pairs: DataFrame) -> None:
+    """Raise if fits repeat an identifier or pairs name one that is not among them."""
+    if fits.groupBy("fit_id").count().where("count > 1").limit(1).count():
+        raise ValueError("fits repeat an identifier")
+    named = pairs.select(F.explode(F.array("fit_a", "fit_b")).alias("fit_id")).distinct()
+    unknown = named.join(fits, "fit_id", "left_anti").limit(3).collect()
+    if unknown:
+        raise ValueError(f"no such fits: {', '.join(r['fit_id'] for r in unknown)}")
+
+
+def with_design(pairs: DataFrame, fits: DataFrame) -> DataFrame:
+    """``pairs`` with the split and grid of both fits, ``same_split`` and ``same_grid``."""
+    own = fits.select("fit_id", "split_id", "grid_id")
+    side = lambda s: own.toDF(f"fit_{s}", f"split_{s}", f"grid_{s}")
+    both = pairs.join(side("a"), "fit_a").join(side("b"), "fit_b")
+    return both.withColumns({"same_split": F.col("split_a") == F.col("split_b"), "same_grid": F.col("grid_a") == F.col("grid_b")})
+
+
+def fit_summary(metrics: DataFrame) -> DataFrame:
+    """Per grid (``grid_id, xdim, ydim``): fits, those that could be evaluated, and medians of
+    what is finite in mapping_coverage, quantization_error, topographic_error and
+    empty_unit_rate."""
+    mid = lambda c: F.percentile(finite(F.col(c)), F.lit(0.5)).alias(f"median_{c}")
+    done = F.col("metric_status").isin("computed", "computed_with_partial_mapping")
+    return metrics.groupBy("grid_id", "xdim", "ydim").agg(
+        F.count(F.lit(1)).alias("n_fits"), F.sum(done.cast("int")).alias("n_evaluable"),
+        *(mid(c) for c in ("mapping_coverage", "quantization_error", "topographic_error", "empty_unit_rate")),
+    )
+
+
+def pair_summary(pairs: DataFrame, value: str = "distance_correlation") -> DataFrame:
+    """Per ``same_split, same_grid``: pairs, those with a finite correlation, its median and
+    type-8 95% interval."""
+    own = finite(F.col(value))
+    return pairs.groupBy("same_split", "same_grid").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.count(own).alias("n_rho_evaluable"), F.percentile(own, F.lit(0.5)).alias("median_rho"),
+        quantile8(F.col(value), 0.025).alias("rho_low"), quantile8(F.col(value), 0.975).alias("rho_high"),
+    )
+
+
 def requested_pairs(pairs: DataFrame) -> DataFrame:
     """Unordered pairs of fits, each once; a fit with itself raises."""
     if pairs.where("fit_a = fit_b").limit(1).count():

@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame
 
 from ..functions import kernels
 from .preprocess import Preprocess
-from .train import Ensemble, _moments, _transform
+from .train import MAX_BYTES, Ensemble, _moments, _transform, pre_of
 
 
-def models(ensemble: Ensemble, pre: Preprocess | None = None) -> list[dict]:
+def models(ensemble: Ensemble, pre: Preprocess | dict[str, Preprocess] | None = None) -> list[dict]:
     """What scoring needs of each successful fit: moments, codes and weights (bounded by
     the model budget)."""
-    pre = pre or Preprocess()
     data = ensemble.data
+    size = data.df.count() * 8 * len(data.variables)
+    if size > MAX_BYTES:
+        raise ValueError(f"the training rows take {size} bytes, over {MAX_BYTES}")
     table = data.df.select("sample_id", *data.variables).orderBy("sample_id").toPandas()
     place = {s: i for i, s in enumerate(table["sample_id"])}
     out = []
@@ -26,19 +28,33 @@ def models(ensemble: Ensemble, pre: Preprocess | None = None) -> list[dict]:
     for f in ensemble.fits.where("error is null").select("fit_id", "split_id", "weights").collect():
         model = {"fit_id": f["fit_id"], "weights": dict(f["weights"]), "moments": {}, "codes": {}}
         for layer, names in data.layers.items():
-            x = _transform(table[list(names)].to_numpy(float), list(names), pre)[members[f["split_id"]]]
-            model["moments"][layer] = _moments(x, pre)
-            own = codes[f["fit_id"]][layer]
-            model["codes"][layer] = np.array([own[u] for u in sorted(own)])
+            own = pre_of(pre, layer)
+            x = _transform(table[list(names)].to_numpy(float), list(names), own)[members[f["split_id"]]]
+            model["moments"][layer] = _moments(x, own)
+            units = codes[f["fit_id"]][layer]
+            model["codes"][layer] = np.array([units[u] for u in sorted(units)])
         out.append(model)
     return out
 
 
-def map_new(rows: DataFrame, ensemble: Ensemble, pre: Preprocess | None = None, id_col: str = "sample_id", keep: tuple[str, ...] = ()) -> DataFrame:
+def in_domain(x: np.ndarray, names: list[str], pre: Preprocess) -> np.ndarray:
+    """Which rows their transforms take."""
+    with np.errstate(invalid="ignore"):
+        if pre.transform == "hellinger":
+            return ~(np.isnan(x).any(1) | (x < 0).any(1) | ~(x.sum(1) > 0))
+        if pre.transform == "clr":
+            return ~(np.isnan(x).any(1) | (x < 0).any(1) | ((x == 0).any(1) & (pre.zero_replacement is None)))
+        bad = np.zeros(len(x), bool)
+        for j, c in enumerate(names):
+            kind = pre.of(c)
+            bad |= x[:, j] <= 0 if kind == "log" else x[:, j] < 0 if kind in ("log1p", "sqrt") else False
+        return ~bad
+
+
+def map_new(rows: DataFrame, ensemble: Ensemble, pre: Preprocess | dict[str, Preprocess] | None = None, id_col: str = "sample_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """``fit_id, sample_id, bmu, distance, error`` of new rows on every successful fit; works
     on streams too. Rows must have all training variables; values outside a transform's
     domain give an error row, not a failed job."""
-    pre = pre or Preprocess()
     layers = {k: list(v) for k, v in ensemble.data.layers.items()}
     names = [c for cs in layers.values() for c in cs]
     missing = [c for c in names if c not in rows.columns]
@@ -56,10 +72,14 @@ def map_new(rows: DataFrame, ensemble: Ensemble, pre: Preprocess | None = None,
                 z = {}
                 for layer, cs in layers.items():
                     x = b[cs].to_numpy(float)
+                    own = pre_of(pre, layer)
                     t = np.full(x.shape, np.nan)
-                    for i in range(len(x)):
+                    fine = in_domain(x, cs, own)
+                    if fine.any():
+                        t[fine] = _transform(x[fine], cs, own)
+                    for i in np.flatnonzero(~fine).tolist():  # to say what is wrong with each
                         try:
-                            t[i] = _transform(x[i : i + 1], cs, pre)[0]
+                            _transform(x[i : i + 1], cs, own)
                         except ValueError as e:
                             error[i] = str(e)
                     mean, scale, constant = m["moments"][layer]

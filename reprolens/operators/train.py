@@ -82,31 +82,44 @@ def _transform(x: np.ndarray, names: list[str], pre: Preprocess) -> np.ndarray:
         return out
 
 
-def fit_one(layers: dict[str, np.ndarray], names: dict[str, list[str]], analysis: np.ndarray, xdim: int, ydim: int, seed: int, spec: Spec, pre: Preprocess) -> dict:
-    """One map: moments of the analysis rows, training on them, mapping of all rows."""
-    units = xdim * ydim
-    if analysis.sum() < units:
-        raise ValueError(f"{int(analysis.sum())} analysis rows for {units} units")
+def pre_of(pre: Preprocess | dict[str, Preprocess] | None, layer: str) -> Preprocess:
+    """The transforms of a layer: of all alike, or its own (none given: identity, centred and scaled)."""
+    return (pre.get(layer) if isinstance(pre, dict) else pre) or Preprocess()
+
+
+def prepared(layers: dict[str, np.ndarray], names: dict[str, list[str]], analysis: np.ndarray, pre: Preprocess | dict[str, Preprocess] | None, asked: dict[str, float] | None, normalize: bool) -> tuple[dict[str, np.ndarray], dict[str, float], list[str]]:
+    """Each layer transformed by itself, with the moments of the analysis rows, the
+    effective weights of the layers in the distance, and warnings."""
     done, raw, warned = {}, {}, []
     for name, x in layers.items():
-        t = _transform(x, names[name], pre)
-        mean, scale, constant = _moments(t[analysis], pre)
+        own = pre_of(pre, name)
+        t = _transform(x, names[name], own)
+        mean, scale, constant = _moments(t[analysis], own)
         z = (t - mean) / scale
         z[:, constant] = 0.0
         if constant.any():
             warned.append(f"constant training columns in {name}: {', '.join(np.array(names[name])[constant])}")
-        if (np.isnan(z[analysis]).mean(1) > spec.max_na_fraction).any():
-            raise ValueError(f"training rows of {name} miss too many values")
         done[name] = z
         raw[name] = 2 * float(np.nanvar(z[analysis], 0, ddof=1).sum())
-    asked = spec.layer_weights or dict.fromkeys(layers, 1.0)
+    asked = asked or dict.fromkeys(layers, 1.0)
     total = sum(asked[k] for k in layers)
     weight = {k: asked[k] / total for k in layers}
-    if spec.normalize_layers:
+    if normalize:
         if any(not np.isfinite(v) or v <= 2.220446049250313e-16 for v in raw.values()):
             raise ValueError("a layer has no spread in the training rows")
         weight = {k: weight[k] / raw[k] for k in layers}
-    weight = {k: v / sum(weight.values()) for k, v in weight.items()}
+    return done, {k: v / sum(weight.values()) for k, v in weight.items()}, warned
+
+
+def fit_one(layers: dict[str, np.ndarray], names: dict[str, list[str]], analysis: np.ndarray, xdim: int, ydim: int, seed: int, spec: Spec, pre: Preprocess | dict[str, Preprocess]) -> dict:
+    """One map: moments of the analysis rows, training on them, mapping of all rows."""
+    units = xdim * ydim
+    if analysis.sum() < units:
+        raise ValueError(f"{int(analysis.sum())} analysis rows for {units} units")
+    done, weight, warned = prepared(layers, names, analysis, pre, spec.layer_weights, spec.normalize_layers)
+    for name, z in done.items():
+        if (np.isnan(z[analysis]).mean(1) > spec.max_na_fraction).any():
+            raise ValueError(f"training rows of {name} miss too many values")
     distance = g.distances(xdim, ydim, spec.topology, spec.toroidal)
     order = list(layers)
     codes = kernels.train_map([done[k][analysis] for k in order], [weight[k] for k in order], distance, spec.steps, seed, spec.neighbourhood)
@@ -133,8 +146,8 @@ FIT = (
 )
 
 
-def fit_ensemble(data: Dataset, spec: Spec, splits: DataFrame, pre: Preprocess | None = None, fail_fast: bool = False, max_bytes: int = MAX_BYTES) -> Ensemble:
-    """Train every model on every split, one task each."""
+def fit_ensemble(data: Dataset, spec: Spec, splits: DataFrame, pre: Preprocess | dict[str, Preprocess] | None = None, fail_fast: bool = False, max_bytes: int = MAX_BYTES) -> Ensemble:
+    """Train every model on every split, one task each; ``pre`` is one for all layers or one for each."""
     pre = pre or Preprocess()
     spark = data.df.sparkSession
     names = {k: list(v) for k, v in data.layers.items()}

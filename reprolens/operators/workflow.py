@@ -32,6 +32,9 @@ class Workflow:
     references: DataFrame | None = None
     comparison: DataFrame | None = None
     failures: list[tuple[str, str, str]] = field(default_factory=list)
+    scope: str = "analysis"
+    #: What each stream of evidence was derived from (see ``source_of``).
+    sources: dict[tuple[str, int], tuple] = field(default_factory=dict)
 
     def consensus_summary(self, ks: list[int]) -> list[dict]:
         """A row per requested k: computed or failed, with the reason."""
@@ -84,11 +87,40 @@ class Workflow:
         kinds = {"case_id": "string", "partitions_complete": "boolean", "consensus_complete": "boolean", "has_cross_models": "boolean", "cross_models_succeeded": "boolean"}
         return spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} {kinds.get(c, 'double')}" for c in row))
 
+    def check_provenance(self, k: int) -> None:
+        """Raise unless all evidence at k is of the analysis scope and was derived from
+        this ensemble's own labels."""
+        if self.scope != "analysis":
+            raise ProvenanceError("gates need evidence of the analysis scope")
+        fits = {r["fit_id"] for r in self.ensemble.fits.where("error is null").select("fit_id").collect()}  # the model budget
+        strange = [r["fit_id"] for r in self.labels.select("fit_id").distinct().collect() if r["fit_id"] not in fits]
+        if strange:
+            raise ProvenanceError(f"labels of other models: {', '.join(sorted(strange)[:3])}")
+        own = source_of(self.labels, k)
+        wanted = [("partitions", True), ("consensus", k in self.consensus), ("comparison", self.comparison is not None)]
+        for stream, present in wanted:
+            if present and (stream, k) not in self.sources:
+                raise ProvenanceError(f"{stream} at k = {k} does not say what it was derived from")
+            if present and self.sources[stream, k] != own:
+                raise ProvenanceError(f"{stream} at k = {k} was derived from other partitions")
+
     def assess(self, k: int, gate: evidence.Gate | None = None) -> tuple[DataFrame, DataFrame]:
+        self.check_provenance(k)
         return evidence.assess(self.evidence(k), gate)
 
 
-def run_workflow(data: Dataset, spec: Spec, splits: DataFrame, pre: Preprocess | None = None, methods: tuple[str, ...] = (), scope: str = "analysis", max_pairs: int = 1_000_000, fail_fast: bool = False) -> Workflow:
+class ProvenanceError(ValueError):
+    """Streams of evidence that do not belong together."""
+
+
+def source_of(labels: DataFrame, k: int) -> tuple:
+    """Identity of the labels at k: their number and two order-free digests."""
+    key = ("fit_id", "sample_id", "label")
+    r = labels.where(F.col("k") == k).agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash(*key).cast("long")).alias("s"), F.bit_xor(F.xxhash64(*key)).alias("x")).first()
+    return tuple(r)
+
+
+def run_workflow(data: Dataset, spec: Spec, splits: DataFrame, pre: Preprocess | dict[str, Preprocess] | None = None, methods: tuple[str, ...] = (), scope: str = "analysis", max_pairs: int = 1_000_000, fail_fast: bool = False) -> Workflow:
     """Fit, measure, partition, compare, decide on a consensus for each k, and compare
     with reference methods. The pairwise budget is checked before any fit; a stage that
     fails at some k leaves a row unless ``fail_fast``."""
@@ -102,16 +134,19 @@ def run_workflow(data: Dataset, spec: Spec, splits: DataFrame, pre: Preprocess |
     labels = partition.sample_labels(ensemble.mapping, units, scope).persist()
     pairs = partition.pairwise_agreement(labels, data.df.count(), max_pairs).persist()
     complete = partition.completeness(labels).persist()
-    out = Workflow(ensemble, partition.fit_metrics(ensemble), labels, pairs, partition.stability_summary(pairs, complete), complete)
+    out = Workflow(ensemble, partition.fit_metrics(ensemble), labels, pairs, partition.stability_summary(pairs, complete), complete, scope=scope)
     for k in spec.k:
+        source = source_of(labels, k)
+        out.sources |= {("partitions", k): source, ("comparison", k): source}
         try:
             out.consensus[k] = cons.consensus(labels, k)
+            out.sources["consensus", k] = source
         except ValueError as e:
             if fail_fast:
                 raise
             out.failures.append(("consensus", str(k), str(e)))
     if methods:
-        out.references = cross.fit_references(data, splits, list(spec.k), methods, pre)
+        out.references = cross.fit_references(data, splits, list(spec.k), methods, pre, layer_weights=spec.layer_weights, normalize_layers=spec.normalize_layers)
         for r in out.references.where("error is not null").select("task_id", "error").collect():  # a row per failed task
             out.failures.append(("reference", r["task_id"], r["error"]))
         every = ensemble.mapping.join(units.withColumnRenamed("unit", "bmu"), ["fit_id", "bmu"])
@@ -177,9 +212,16 @@ def run_sensitivity(scenarios: dict[str, dict], fail_fast: bool = False) -> dict
     return out
 
 
-def audit_maps(w: Workflow, q: int = 10, max_pairs: int = 10_000) -> DataFrame:
-    """Do the successful fits represent the analysis rows alike? All pairs, within budget."""
-    fits = w.ensemble.fits.where("error is null").select("fit_id", "xdim", "ydim")
-    pairs = fits.select(F.col("fit_id").alias("fit_a")).crossJoin(fits.select(F.col("fit_id").alias("fit_b"))).where("fit_a < fit_b")  # fits are the budget
+def audit_maps(w: Workflow, q: int = 10, max_pairs: int = 10_000, pairs: DataFrame | None = None) -> DataFrame:
+    """Do the successful fits represent the analysis rows alike? All pairs of fits, or those
+    requested (``fit_a, fit_b``, each once), within budget. Pairs say too whether they
+    share split and grid."""
+    fits = w.ensemble.fits.where("error is null").select("fit_id", "split_id", "grid_id", "xdim", "ydim")
+    if pairs is None:
+        pairs = fits.select(F.col("fit_id").alias("fit_a")).crossJoin(fits.select(F.col("fit_id").alias("fit_b"))).where("fit_a < fit_b")  # fits are the budget
+    else:
+        pairs = representation.requested_pairs(pairs)
+    representation.check_fits(fits, pairs)
     m = w.ensemble.mapping.where("role = 'analysis'")
-    return representation.compare_maps(m, fits, pairs, q, w.ensemble.spec.topology, w.ensemble.spec.toroidal, max_pairs)
+    got = representation.compare_maps(m, fits, pairs, q, w.ensemble.spec.topology, w.ensemble.spec.toroidal, max_pairs)
+    return representation.with_design(got, fits)

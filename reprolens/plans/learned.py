@@ -1,14 +1,17 @@
 """Queries that train: ensembles of maps, references, consensus and whole workflows.
 
-Training has no SQL; these are checked by tests against brute force and invariants."""
+But for batch epochs, training has no SQL; these are checked by tests against brute force
+and invariants."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import grid as g
 from ..operators import consensus, cross, dataset, evidence, partition, plotdata, preprocess, resample, score, sensitivity, simulate, spec, train, workflow
 from .common import table
-from .maps import COLS, lines
+from .maps import BASE, COLS, X, Y, lines
 
 
 def _dataset(spark, sf_dir):
@@ -112,4 +115,27 @@ QUERIES = {
         representation_audit, preflight, map_planes, distributed_training, domain_failures,
     )
 }
-ORACLE: dict[str, str] = {}
+
+
+def _epochs_sql(steps: int) -> str:
+    """Batch training of a 3 by 2 map in SQL: each epoch maps all rows and moves the units."""
+    distance = g.distances(X, Y, "rectangular")
+    start = float(np.quantile(distance, 2 / 3))
+    cs = (1, 2, 3, 4)
+    out = []
+    for i in range(steps + 1):
+        code = "code" if i == 0 else f"code{i}"
+        far = " + ".join(f"(x{c} - c{c}) ** 2" for c in cs)
+        out.append(f"d{i} AS (SELECT sample_id, x1, x2, x3, x4, unit, {far} AS dd FROM z, {code})")
+        out.append(f"b{i} AS (SELECT sample_id, any_value(x1) AS x1, any_value(x2) AS x2, any_value(x3) AS x3, any_value(x4) AS x4, arg_min(unit, dd) AS bmu, min(dd) AS dd FROM d{i} GROUP BY sample_id)")
+        if i < steps:
+            h = np.exp(-(distance**2) / (2 * max(start * (1 - i / steps), 0.1) ** 2))
+            pairs = ", ".join(f"({u + 1}, {v + 1}, {float(h[u, v])!r}::DOUBLE)" for u in range(len(h)) for v in range(len(h)))
+            out.append(f"s{i} AS (SELECT bmu, count(*) AS n, {', '.join(f'sum(x{c}) AS s{c}' for c in cs)} FROM b{i} GROUP BY bmu)")
+            out.append(f"code{i + 1} AS (SELECT unit, {', '.join(f'sum(h * s{c}) / sum(h * n) AS c{c}' for c in cs)} FROM (VALUES {pairs}) t(unit, other, h) JOIN s{i} ON other = bmu GROUP BY unit)")
+    return ",\n    ".join(out)
+
+
+ORACLE: dict[str, str] = {
+    "distributed_training": f"WITH {BASE},\n    {_epochs_sql(3)}\n    SELECT bmu, count(*) AS n, round(avg(dd), 6) AS mean_distance FROM b3 GROUP BY bmu",
+}

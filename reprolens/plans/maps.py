@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grid as g
 from ..operators import mapping, plotdata, representation
-from .common import r6, table
+from .common import quantile8_sql, r6, table
 
 COLS = ["x1", "x2", "x3", "x4"]
 X, Y, UNITS = 3, 2, 6
@@ -129,10 +129,29 @@ def metric_status(spark, sf_dir):
     return representation.metric_status(m).select("fit_id", "n_scope", "n_mapped", r6("quantization_error"), "metric_status")
 
 
+def representation_fit_summary(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    m = s.select(
+        (F.col("s_nationkey") % 3 + 1).alias("grid_id"), (F.col("s_nationkey") % 3 + 3).alias("xdim"), F.lit(4).alias("ydim"), F.when(k % 4 == 0, "no_mapped_rows").otherwise("computed").alias("metric_status"),
+        F.when(k % 4 != 0, 1 - k % 9 / 20.0).alias("mapping_coverage"), (F.col("s_acctbal") / 100).alias("quantization_error"), (k % 10 / 10.0).alias("topographic_error"), (k % 7 / 7.0).alias("empty_unit_rate"),
+    )
+    out = representation.fit_summary(m)
+    return out.select("grid_id", "xdim", "ydim", "n_fits", "n_evaluable", *(r6(c) for c in out.columns if c.startswith("median_")))
+
+
+def representation_pair_summary(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    pairs = p.select((k % 2 == 0).alias("same_split"), (k % 3 == 0).alias("same_grid"), F.when(k % 5 != 0, F.col("p_retailprice") / 2500).alias("distance_correlation"))
+    out = representation.pair_summary(pairs)
+    return out.select("same_split", "same_grid", "n_pairs", "n_rho_evaluable", r6("median_rho"), r6("rho_low"), r6("rho_high"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        quantization_error, bmu_map, bmu_map_joined, fit_quality, unoccupied_rate, missing_values_map, batch_epoch, hop_table, grid_adjacency, grid_points,
+        representation_fit_summary, representation_pair_summary, quantization_error, bmu_map, bmu_map_joined, fit_quality, unoccupied_rate, missing_values_map, batch_epoch, hop_table, grid_adjacency, grid_points,
         occupancy_plane, component_plane, neighbour_distance_plane, hop_counts, spearman_hist, metric_status,
     )
 }
@@ -202,6 +221,14 @@ ORACLE = {
         j AS (SELECT CAST(n AS DOUBLE) AS n, CAST(ra AS DOUBLE) AS ra, CAST(rb AS DOUBLE) AS rb FROM hc JOIN ra USING (hop_a) JOIN rb USING (hop_b)),
         u AS (SELECT sum(n * ra) / sum(n) AS ma, sum(n * rb) / sum(n) AS mb FROM j)
         SELECT round(sum(n * (ra - ma) * (rb - mb)) / sqrt(sum(n * (ra - ma) ** 2) * sum(n * (rb - mb) ** 2)), 6) AS rho FROM j, u""",
+    "representation_fit_summary": """
+        SELECT s_nationkey % 3 + 1 AS grid_id, s_nationkey % 3 + 3 AS xdim, 4 AS ydim, count(*) AS n_fits, CAST(sum(CASE WHEN s_suppkey % 4 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_evaluable,
+               round(median(CASE WHEN s_suppkey % 4 <> 0 THEN 1 - s_suppkey % 9 / 20.0e0 END), 6) AS median_mapping_coverage, round(median(s_acctbal / 100), 6) AS median_quantization_error,
+               round(median(s_suppkey % 10 / 10.0e0), 6) AS median_topographic_error, round(median(s_suppkey % 7 / 7.0e0), 6) AS median_empty_unit_rate FROM supplier GROUP BY 1, 2""",
+    "representation_pair_summary": f"""
+        WITH p AS (SELECT p_partkey % 2 = 0 AS same_split, p_partkey % 3 = 0 AS same_grid, CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice / 2500 END AS rho FROM part),
+        l AS (SELECT same_split, same_grid, count(*) AS n_pairs, count(rho) AS n_rho_evaluable, median(rho) AS m, list_sort(list(rho) FILTER (rho IS NOT NULL)) AS v FROM p GROUP BY ALL)
+        SELECT same_split, same_grid, n_pairs, n_rho_evaluable, round(m, 6) AS median_rho, round({quantile8_sql('v', 0.025)}, 6) AS rho_low, round({quantile8_sql('v', 0.975)}, 6) AS rho_high FROM l""",
     "metric_status": """
         SELECT o_orderpriority AS fit_id, count(*) AS n_scope, CAST(sum(CASE WHEN o_custkey % 7 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_mapped,
                round(avg(CASE WHEN o_custkey % 7 <> 0 THEN o_totalprice / 1000 END), 6) AS quantization_error, 'computed_with_partial_mapping' AS metric_status

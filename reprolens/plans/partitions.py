@@ -183,6 +183,16 @@ ORACLE = {
     "quantile8_by_segment": f"""
         WITH l AS (SELECT c_mktsegment, list_sort(list(c_acctbal)) AS v FROM customer GROUP BY 1)
         SELECT c_mktsegment, round({quantile8_sql('v', 0.025)}, 6) AS low, round({quantile8_sql('v', 0.975)}, 6) AS high FROM l""",
+    "pairwise_ami": f"""
+        WITH {_PAIRS},
+        w AS (SELECT fit_a, fit_b, x, y, CAST(n AS DOUBLE) AS n, CAST(sum(n) OVER (PARTITION BY fit_a, fit_b, x) AS DOUBLE) AS a,
+                     CAST(sum(n) OVER (PARTITION BY fit_a, fit_b, y) AS DOUBLE) AS b, CAST(sum(n) OVER (PARTITION BY fit_a, fit_b) AS DOUBLE) AS t FROM cell),
+        mi AS (SELECT fit_a, fit_b, sum(n / t * ln(n * t / (a * b))) AS mi, -sum(n / t * ln(a / t)) AS hx, -sum(n / t * ln(b / t)) AS hy FROM w GROUP BY ALL),
+        ma AS (SELECT DISTINCT fit_a, fit_b, x, CAST(a AS BIGINT) AS a, CAST(t AS BIGINT) AS t FROM w), mb AS (SELECT DISTINCT fit_a, fit_b, y, CAST(b AS BIGINT) AS b FROM w),
+        k AS (SELECT fit_a, fit_b, a, b, t, unnest(range(greatest(1, a + b - t), least(a, b) + 1)) AS k FROM ma JOIN mb USING (fit_a, fit_b)),
+        emi AS (SELECT fit_a, fit_b, sum(k / CAST(t AS DOUBLE) * ln(CAST(t AS DOUBLE) * k / (CAST(a AS DOUBLE) * b))
+                  * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(t - a + 1) + lgamma(t - b + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(t - a - b + k + 1))) AS emi FROM k GROUP BY ALL)
+        SELECT fit_a, fit_b, round(greatest(least((mi - emi) / ((hx + hy) / 2 - emi), 1), -1), 6) AS ami FROM mi JOIN emi USING (fit_a, fit_b)""",
     "completeness": f"""
         WITH {_LABELS} SELECT fit_id, 4 AS k, count(DISTINCT label) AS n_observed_clusters,
           array_to_string(list_filter([1, 2, 3, 4], lambda x: NOT list_contains(list(DISTINCT label), x)), ',') AS missing_clusters, count(DISTINCT label) = 4 AS complete_k FROM lab GROUP BY fit_id""",

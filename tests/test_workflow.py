@@ -29,6 +29,61 @@ def test_workflow_and_decision(spark, data):
     assert workflow.verdict(data, SPEC, splits, max_pairs=1) == "pairwise_budget"
 
 
+def test_evidence_must_belong_together(spark, data):
+    splits = resample.subsample(data.df, 2, 0.8, 1)
+    w, other = (workflow.run_workflow(data, spec.Spec(grids=((3, 2),), seeds=(s,), steps=5, k=(2,)), splits) for s in (1, 2))
+    w.assess(2)
+    w.sources["consensus", 2] = other.sources["consensus", 2]
+    with pytest.raises(workflow.ProvenanceError):
+        w.assess(2)
+    del w.sources["consensus", 2]
+    with pytest.raises(workflow.ProvenanceError):
+        w.assess(2)
+    other.labels = w.labels
+    with pytest.raises(workflow.ProvenanceError):
+        other.assess(2)
+    every = workflow.run_workflow(data, spec.Spec(grids=((3, 2),), seeds=(1,), steps=5, k=(2,)), splits, scope="all")
+    with pytest.raises(workflow.ProvenanceError):
+        every.assess(2)
+
+
+def test_requested_pairs_and_design(spark, data):
+    w = workflow.run_workflow(data, SPEC, resample.subsample(data.df, 2, 0.8, 1))
+    got = workflow.audit_maps(w, q=5).collect()
+    assert len(got) == 6 and sum(r["same_split"] for r in got) == 2 and all(r["same_grid"] for r in got)
+    one = spark.createDataFrame([(got[0]["fit_b"], got[0]["fit_a"])], "fit_a string, fit_b string")
+    again = workflow.audit_maps(w, q=5, pairs=one).collect()
+    assert [(r["fit_a"], r["fit_b"], r["distance_correlation"]) for r in again] == [(got[0]["fit_a"], got[0]["fit_b"], pytest.approx(got[0]["distance_correlation"]))]
+    for bad in ([("x", "y")], [(got[0]["fit_a"],) * 2]):
+        with pytest.raises(ValueError):
+            workflow.audit_maps(w, pairs=spark.createDataFrame(bad, "fit_a string, fit_b string"))
+
+
+def test_references_see_weighted_layers(spark):
+    """Two layers of unequal weight and transforms of their own, against numpy."""
+    import numpy as np
+
+    from reprolens.functions import kernels
+    from reprolens.operators import preprocess
+
+    r = np.random.default_rng(4)
+    a, b = r.normal(size=(40, 2)) * 3, r.gamma(2.0, size=(40, 3))
+    rows = [(f"s{i:02d}", *map(float, a[i]), *map(float, b[i])) for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, a1 double, a2 double, b1 double, b2 double, b3 double")
+    d = dataset.make_dataset(df, layers={"a": ["a1", "a2"], "b": ["b1", "b2", "b3"]}, id_col="id")
+    pre = {"a": preprocess.Preprocess(), "b": preprocess.Preprocess("hellinger")}
+    z = {"a": a, "b": np.sqrt(b / b.sum(1, keepdims=True))}
+    z = {k: (v - v.mean(0)) / v.std(0, ddof=1) for k, v in z.items()}
+    w = {k: q / (2 * z[k].var(0, ddof=1).sum()) for k, q in (("a", 0.9), ("b", 0.1))}
+    total = sum(w.values())
+    m = np.column_stack([z[k] * np.sqrt(w[k] / total) for k in z])
+    want = kernels.cut_tree(kernels.linkage(kernels.euclidean(m), "ward"), 40, 4)
+    got = cross.fit_references(d, resample.full(d.df), [4], ("ward",), pre, layer_weights={"a": 0.9, "b": 0.1}).orderBy("sample_id").collect()
+    assert [g["label"] for g in got] == want.tolist()
+    flat = cross.fit_references(d, resample.full(d.df), [4], ("ward",), pre, layer_weights={"a": 0.1, "b": 0.9}).orderBy("sample_id").collect()
+    assert [g["label"] for g in flat] != want.tolist()
+
+
 def test_budget_is_checked_before_fitting(spark, data):
     with pytest.raises(spec.BudgetError):
         workflow.run_workflow(data, SPEC, resample.subsample(data.df, 2, 0.8, 1), max_pairs=1)
