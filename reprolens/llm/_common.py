@@ -7,6 +7,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,22 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once; later readers do not recompute it."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with small_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000):
+    """What is computed inside goes to Python in Arrow batches of so many rows at most: rows
+    here hold texts or sets, of which the default number would take much memory outside
+    the heap of every task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(old), rows) if int(old) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
 
 
 class Scratch:
@@ -51,7 +67,8 @@ class Scratch:
         """``df`` written and read again; a table kept before under the name is deleted then."""
         old, self.made = self.paths.get(name), self.made + 1
         self.paths[name] = path = f"{self.base}/{self.made}-{name}"
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         if old:
             remove(self.spark, old)
         return self.spark.read.schema(df.schema).parquet(path)

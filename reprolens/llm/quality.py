@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Words, blocks, cut, release, text_or_empty
+from ._common import Words, blocks, cut, release, small_batches, text_or_empty
 
 #: Up to so many labels (24 MB) are broadcast to find their documents.
 BROADCAST_LABELS = 1_000_000
@@ -165,7 +165,8 @@ def fit(labelled: DataFrame, shrink_pooled: float = 0.1, shrink_diagonal: float
 
     rows = labelled.where("y in (0, 1)").select(given, F.col("y").cast("int").alias("y")).mapInArrow(sums, "y int, s array<double>")
     # two rows of one number for each entry of the moments, whatever the input's size
-    added = rows.select("y", F.posexplode("s").alias("i", "v")).groupBy("y", "i").agg(F.sum("v").alias("v")).collect()
+    with small_batches(labelled.sparkSession):
+        added = rows.select("y", F.posexplode("s").alias("i", "v")).groupBy("y", "i").agg(F.sum("v").alias("v")).collect()
     total = np.zeros((2, 1 + p + p * p))
     for r in added:
         total[r["y"], r["i"]] = r["v"]
