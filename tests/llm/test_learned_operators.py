@@ -457,6 +457,31 @@ def test_pipeline(spark):
     assert packed.length.sum() == total
 
 
+def test_pipeline_stages_on_odd_tables(spark):
+    """Nulls in any column, repeated rows, a very long text, no rows at all, and clashing names."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.limit(30).unionByName(docs.limit(3))
+    odd = spark.createDataFrame([(None, None, None, None, None), (7001, None, "en", None, 0), (7002, "", None, "s", 0), (7003, "word " * 30000, "en", "s", None), (7003, "word " * 30000, "en", "s", None)], docs.schema)
+    both = some.unionByName(odd).withColumns({"a.b": F.lit("x"), "id": F.lit(1), "_t": F.lit("z"), "_id": F.lit(None).cast("string"), "row": F.lit(2.0)})
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, both, SF)
+        assert out.columns == both.columns and 0 < out.count() <= both.count(), name
+        none = stage(spark, both.limit(0), SF)
+        assert none.columns == both.columns and none.count() == 0, name
+    packed = corpus_pipeline.STAGES[4][1](spark, both, SF)
+    assert packed.where("doc_id = 7001").count() == 1 and packed.where("doc_id = 7003").select("piece").distinct().count() > 1
+    assert corpus_pipeline.STAGES[4][1](spark, both.limit(0), SF).count() == 0
+
+
+def test_pipeline_runs_whole(spark):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, SF)
+    assert got.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(got.columns)
+
+
 def test_queries_against_sql(spark):
     import duckdb
 
