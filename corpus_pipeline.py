@@ -3,7 +3,15 @@
 Low-quality documents go, then exact copies, then near copies; secrets are removed
 from what is left, and the rest is packed into training sequences. Each stage takes
 (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of documents. Each stage's result is written as Parquet and read again for the next.
+of documents. Each stage's result is written as Parquet and read again for the next, and
+deleted when that one stands.
+
+In every stage null and empty texts, repeated rows, rows without an identifier, empty
+tables and further columns of any name are taken: the quality stage judges a null or
+empty text by its (all zero) statistics; exact dedup keeps one row of the empty texts, nulls
+among them; near copies keep every text without words and every row without an identifier;
+the secrets stage leaves them as they are; packing gives them the end token alone. An empty
+table stays empty with its columns.
 """
 
 from __future__ import annotations
@@ -13,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from reprolens.llm import exact_dedup, jaccard, packing, quality, secret_scan
-from reprolens.llm._common import shared_dir, table
+from reprolens.llm._common import remove, shared_dir, table
 from reprolens.llm.queries import vocabulary
 
 
@@ -62,4 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
         docs = spark.read.parquet(f"{base}/{i}")
+        if i:
+            remove(spark, f"{base}/{i - 1}")
     return docs
