@@ -3,6 +3,7 @@ candidates, and gates that may abstain."""
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
@@ -73,6 +74,49 @@ def check_labels(samples: DataFrame, labels: DataFrame) -> None:
         raise ValueError("labels for unknown samples")
 
 
+_POSITION = r"^sample_(\d+)$"
+
+
+def match_labels(samples: DataFrame, labels: DataFrame, match: str = "auto") -> DataFrame:
+    """``sample_id, label`` of external labels.
+
+    ``id``: ``labels`` name their samples. ``position``: they have a ``position`` (from 1)
+    instead, which generated sample identifiers hold; every position must occur once. ``auto``:
+    by identifier where there is one, else by position where identifiers were generated.
+    """
+    if match not in ("auto", "id", "position"):
+        raise ValueError("match is auto, id or position")
+    named, placed = "sample_id" in labels.columns, "position" in labels.columns
+    if match == "id" or (match == "auto" and named):
+        if not named:
+            raise ValueError("labels have no sample_id")
+        return labels.select(F.col("sample_id").cast("string").alias("sample_id"), "label")
+    if not placed:
+        raise ValueError("labels have no position")
+    number = F.regexp_extract("sample_id", _POSITION, 1)
+    if samples.where(number == "").limit(1).count():
+        raise ValueError("samples have identifiers of their own: match labels by these")
+    own = samples.select(number.cast("long").alias("position"), "sample_id")
+    given = labels.select(F.col("position").cast("long").alias("position"), "label")
+    size = given.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("position").alias("d")).first()
+    if size["n"] != size["d"] or size["n"] != own.count() or given.join(own, "position", "left_anti").limit(1).count():
+        raise ValueError("labels by position need one for every sample")
+    return own.join(given, "position").select("sample_id", "label")
+
+
+def check_consensus(samples: DataFrame, rows: DataFrame) -> None:
+    """Raise unless a consensus (``sample_id, n_assignments``) has exactly the samples of
+    ``rows``, each once, with whole numbers of assignments."""
+    if samples.groupBy("sample_id").count().where("count > 1 or sample_id is null").limit(1).count():
+        raise ValueError("the consensus repeats a sample or has one without identifier")
+    ids = rows.select("sample_id")
+    if samples.join(ids, "sample_id", "left_anti").limit(1).count() or ids.join(samples, "sample_id", "left_anti").limit(1).count():
+        raise ValueError("the consensus is of other samples: compute it again")
+    n = F.col("n_assignments")
+    if samples.where(n.isNull() | (n < 0) | (n != F.floor(n))).limit(1).count():
+        raise ValueError("the consensus has invalid numbers of assignments: compute it again")
+
+
 def omissions(status: DataFrame) -> DataFrame:
     """``status, n`` of all reasons, zeros included."""
     every = status.sparkSession.createDataFrame([(i, s) for i, s in enumerate(STATUSES)], "ord int, status string")
@@ -91,9 +135,10 @@ def composition(status: DataFrame) -> DataFrame:
     return filled.join(total, "cluster").select("cluster", "label", "n", (F.col("n") / F.col("t")).alias("within_cluster"))
 
 
-def external_assessment(samples: DataFrame, labels: DataFrame, exclude: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+def external_assessment(samples: DataFrame, labels: DataFrame, exclude: tuple[str, ...] = (), match: str = "auto") -> dict[str, DataFrame]:
     """Status of each sample, omission counts, composition and agreement indices; at
     least two used samples and two label levels are needed."""
+    labels = match_labels(samples, labels, match)
     check_labels(samples, labels)
     status = label_status(samples, labels, exclude).persist()
     used = status.where("status = 'used'")
@@ -134,6 +179,26 @@ def pareto(df: DataFrame, metrics: dict[str, str], id_col: str) -> DataFrame:
     return rows.join(best, names, "left_semi").drop(*names)
 
 
+def distinct_analysis_sets(splits: DataFrame) -> bool:
+    """Whether the analysis rows of the splits (``split_id, sample_id, role``) differ: by the
+    number and two order-free digests of each split's identifiers."""
+    own = splits.where("role = 'analysis'").select("split_id", "sample_id").distinct()
+    key = own.groupBy("split_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("sample_id").cast("long")).alias("s"), F.bit_xor(F.xxhash64("sample_id")).alias("x"))
+    return key.select("n", "s", "x").distinct().limit(2).count() > 1
+
+
+def pareto_of_fits(metrics: DataFrame, splits: DataFrame, directions: dict[str, str]) -> DataFrame:
+    """The Pareto front of fits (``fit_id, split_id`` and metrics) with ``comparison_scope``.
+    Fits on different analysis rows are not comparable: then a warning says that the front
+    is exploratory and must not choose a configuration."""
+    used = splits.join(metrics.select("split_id").distinct(), "split_id", "left_semi")
+    apart = distinct_analysis_sets(used)
+    if apart:
+        warnings.warn("this front compares metrics of different analysis rows and must not choose a configuration", stacklevel=2)
+    front = pareto(metrics, directions, "fit_id")
+    return front.withColumn("comparison_scope", F.lit("distinct_analysis_sets" if apart else "common_analysis_set"))
+
+
 # ---- gates -------------------------------------------------------------------
 
 

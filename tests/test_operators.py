@@ -275,3 +275,36 @@ def test_reference_query_reads_its_tables(spark):
     customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
     sizes = {r["task_id"]: r["n"] for r in got.groupBy("task_id").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
     assert set(sizes.values()) == {customers}
+
+
+def test_labels_by_identifier_and_position(spark):
+    samples = spark.createDataFrame([(f"sample_{i:05d}", 1 + i % 2, 3) for i in range(1, 7)], "sample_id string, consensus int, n_assignments int")
+    by_place = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(1, 7)], "position int, label string")
+    got = evidence.external_assessment(samples, by_place)
+    assert got["agreement"].first()["ari"] == 1.0
+    by_id = spark.createDataFrame([("sample_00001", "a"), ("sample_00002", "b")], "sample_id string, label string")
+    assert evidence.match_labels(samples, by_id).count() == 2
+    for labels, match in ((by_id, "position"), (by_place, "id"), (by_place.limit(5), "auto"), (by_place.withColumn("position", F.lit(1)), "auto"), (by_place, "other")):
+        with pytest.raises(ValueError):
+            evidence.match_labels(samples, labels, match)
+    named = samples.withColumn("sample_id", F.concat(F.lit("p"), "sample_id"))
+    with pytest.raises(ValueError):
+        evidence.match_labels(named, by_place)
+
+
+def test_consensus_of_other_samples(spark):
+    rows = spark.createDataFrame([("a",), ("b",)], "sample_id string")
+    evidence.check_consensus(rows.withColumn("n_assignments", F.lit(2)), rows)
+    for bad in ([("a", 1)], [("a", 1), ("c", 1)], [("a", 1), ("b", -1)], [("a", 1), ("b", None)], [("a", 1), ("a", 1), ("b", 1)]):
+        with pytest.raises(ValueError):
+            evidence.check_consensus(spark.createDataFrame(bad, "sample_id string, n_assignments int"), rows)
+
+
+def test_fronts_say_what_they_compare(spark):
+    fits = spark.createDataFrame([("f1", "s1", 1.0, 2.0), ("f2", "s2", 2.0, 1.0), ("f3", "s2", 3.0, 3.0)], "fit_id string, split_id string, qe double, te double")
+    one = spark.createDataFrame([(s, i, "analysis") for s in ("s1", "s2") for i in "ab"], "split_id string, sample_id string, role string")
+    got = evidence.pareto_of_fits(fits, one, {"qe": "min", "te": "min"}).collect()
+    assert {(r["fit_id"], r["comparison_scope"]) for r in got} == {("f1", "common_analysis_set"), ("f2", "common_analysis_set")}
+    with pytest.warns(UserWarning):
+        other = evidence.pareto_of_fits(fits, one.where("split_id = 's1' or sample_id = 'a'"), {"qe": "min", "te": "min"})
+    assert {r["comparison_scope"] for r in other.collect()} == {"distinct_analysis_sets"}
