@@ -22,7 +22,6 @@ from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -134,16 +133,6 @@ class ChunkEncoder:
         return out
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder for each worker process, kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
-
-
 def pieces(
     docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -155,7 +144,8 @@ def pieces(
     """
 
     def cut_up(batches):
-        enc = encoder(tokenizer)
+        # made anew for each task: what an idle worker keeps counts against the executor
+        enc = ChunkEncoder(tokenizer)
         for b in blocks(batches, 2 << 20):
             rows = []
             for d, ids in zip(b.column(0).to_pylist(), enc.batch(b.column(1)), strict=True):
@@ -167,6 +157,7 @@ def pieces(
                 [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        del enc
         release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("t")).mapInArrow(cut_up, PIECES)
@@ -232,9 +223,9 @@ def _packer(capacity: int, last: bool):
     return lambda group: _packed(group, capacity, last)
 
 
-def _packed(group: pd.DataFrame, capacity: int, last: bool) -> pd.DataFrame:
+def _packed(group: pa.Table, capacity: int, last: bool) -> pa.Table:
     """One group packed; ``open`` marks pieces that are to be exchanged."""
-    group = group.sort_values(["length", "u"], ascending=[False, True], kind="stable")
+    group = group.sort_by([("length", "descending"), ("u", "ascending")])
     lengths = group["length"].to_numpy()
     bins, offsets, n = best_fit_decreasing(lengths, capacity)
     bound = lower_bound(lengths, capacity)
@@ -247,7 +238,10 @@ def _packed(group: pd.DataFrame, capacity: int, last: bool) -> pd.DataFrame:
     elif not last and n:
         # certified here, but one partly filled sequence per group adds up
         giving[np.argmin(fill)] = fill.min() < capacity
-    return group.assign(bin=bins, offset=offsets, open=giving[bins], group_sequences=n, group_bound=bound)
+    more = {"bin": bins, "offset": offsets, "open": giving[bins], "group_sequences": np.full(len(bins), n), "group_bound": np.full(len(bins), bound)}
+    for name, values in more.items():
+        group = group.append_column(name, pa.array(values, pa.bool_() if name == "open" else pa.int64()))
+    return group
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -278,7 +272,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
         groups = max(1, -(-n // group_rows))
         last = groups == 1 or (before is not None and n > 0.9 * before)
         dealt = rest.withColumn("g", F.pmod(F.xxhash64("u", F.lit(k)), F.lit(groups)))
-        packed = cut(dealt.groupBy("g").applyInPandas(_packer(capacity, last), schema))
+        packed = cut(dealt.groupBy("g").applyInArrow(_packer(capacity, last), schema))
         # 8 bits of round, 28 of group, 27 of the sequence's number in its group
         number = F.lit(k % 256 << 55) + F.col("g") * (1 << 27) + F.col("bin")
         final = packed.where(~F.col("open"))
