@@ -27,6 +27,10 @@ from reprolens.llm.queries import vocabulary
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model, trained on four fifths of the labels, does not reject."""
+    # texts go to Python in small batches: the default of 10,000 rows takes hundreds of megabytes
+    # beside the heap of an executor
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, str(min(int(spark.conf.get(batch)), 2000)))
     return quality.keep_good(docs, quality.learn(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
