@@ -200,7 +200,7 @@ class _Join:
         each = seen.where("n is not null").drop("sig")
         self.total = each.count()
         classes = each.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
-        self.alone = each.where("n = 0 or doc_id is null").select("doc_id", "n")
+        self.alone = own.keep("alone", each.where("n = 0 or doc_id is null").select("doc_id", "n"))
         self.mapped = own.keep("mapped", join_by_size(each.where("n > 0 and doc_id is not null"), own.keep("classes", classes), ["k1", "k2", "n"], "members", self.total).select("doc_id", "n", "rep", "members"))
         own.drop("classes")
         counted = own.keep("counted", seen.where("n is null").groupBy("k1").agg(F.sum("k2").alias("times")))
@@ -343,7 +343,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, share: int = 80, id_col: str
         more = j.verified(cross, "links2").select("a", "b")
         if more.limit(1).count():
             label = components(links.unionByName(more))
-    own.drop("star", "close", "cross", "labelled", "placed", "inside")
+    own.drop("seen", "star", "close", "cross", "labelled", "placed", "inside", "links0", "links1", "links2")
 
     # every row by its class, whose label is the smallest id of its component
     linked = join_by_size(j.mapped, _sized(label.toDF("rep", "label"), j.mapped), ["rep"], "size", j.total)
@@ -386,7 +386,7 @@ def jaccard_pairs(docs: DataFrame, k: int = 5, share: int = 80, id_col: str = "d
     j = _Join(docs, k, share, id_col, text_col)
     pairs = j.own.keep("pairs", _all_pairs(j.inside.select("h", "doc_id", "n", "pos"), j.entries, share))
     links = j.verified(pairs, "links")
-    j.own.drop("pairs", "inside")
+    j.own.drop("seen", "pairs", "inside")
     links = links.select("a", "b", "same", (F.col("same") / (F.col("na") + F.col("nb") - F.col("same"))).alias("jaccard"))
     rows = j.mapped.select("doc_id", "n", F.col("rep").alias("class_id")).unionByName(j.alone.withColumn("class_id", F.lit(None).cast("long")))
     return links, rows.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "class_id")
