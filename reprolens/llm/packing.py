@@ -36,8 +36,10 @@ GROUP_ROWS = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def chunked(spec: dict) -> bool:
+def chunked(path: str) -> bool:
     """Whether a tokenizers file's ids of a text are those of its chunks in a row."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
 
     def steps(part, many):
         return (part.get(many, []) if part["type"] == "Sequence" else [part]) if part else []
@@ -77,12 +79,11 @@ class ChunkEncoder:
     ODD = r"[^\t-\r -&(-;=-~À-ÖØ-öø-ÿ]"
     SPLIT = r"([0-9]|[!-&(-/:;=-@\[-`{-~]+)"
 
-    def __init__(self, path: str, most: int = 60_000):
+    def __init__(self, path: str, by_chunk: bool, most: int = 40_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            self.by_chunk = chunked(json.load(f))
+        self.by_chunk = by_chunk
         self.most = most
         self.plain: dict[str, bytes] = {}
         self.other: dict[str, bytes] = {}

@@ -254,7 +254,7 @@ def test_exchange_ends(spark):
 def test_pieces_of_any_tokenizer(name):
     from tokenizers import Tokenizer
 
-    tok, enc = Tokenizer.from_file(vocabulary(name)), packing.ChunkEncoder(vocabulary(name))
+    tok, enc = Tokenizer.from_file(vocabulary(name)), packing.ChunkEncoder(vocabulary(name), packing.chunked(vocabulary(name)))
     texts = ["Hello World 12", "", "it's  Ünï\n<|endoftext|> x1y", *(t or "" for t in ODD)]
     assert [x.tolist() for x in enc.batch(pa.array(texts))] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
     assert enc.by_chunk == (name == "word_bpe_49k.json")
