@@ -144,10 +144,12 @@ def pieces(
     by one, so repeated identifiers give repeated pieces.
     """
 
+    by_chunk = chunked(tokenizer)
+
     def cut_up(batches):
         # made anew for each task: what an idle worker keeps counts against the executor
-        enc = ChunkEncoder(tokenizer)
-        for b in blocks(batches, 2 << 20):
+        enc = ChunkEncoder(tokenizer, by_chunk)
+        for b in blocks(batches, 1 << 20):
             rows = []
             for d, ids in zip(b.column(0).to_pylist(), enc.batch(b.column(1)), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
