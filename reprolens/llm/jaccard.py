@@ -247,6 +247,7 @@ class _Join:
         def whole_sets(batches):
             for b in blocks(batches):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), k)], pa.binary())], names=["doc_id", "v"])
+            release()
 
         def bounded(batches):
             for b in batches:
@@ -269,6 +270,7 @@ class _Join:
                     same[i] = len(np.intersect1d(x, y, assume_unique=True))
                     keep[i] = 100 * same[i] >= share * (total - same[i])
                 yield pa.RecordBatch.from_arrays([*b.select(["a", "b", "na", "nb"]).columns, pa.array(same)], names=["a", "b", "na", "nb", "same"]).filter(pa.array(keep))
+            release()
 
         def beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
             at = lambda c: values.select(F.col("doc_id").alias(c), F.col("v").alias(f"v{c}"))
