@@ -20,6 +20,7 @@ import string
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -280,11 +281,13 @@ def train(spark: SparkSession, findings: list[tuple[str, int]] | None = None, wo
     ``MAX_FINDINGS`` of them are used, and of each text its last candidate; texts without
     one are left out. ``words`` are the dictionary. Features come from the same SQL
     expressions as those of a scan. No findings at all raise ValueError."""
-    rows = [(i, t, y) for i, (t, y) in enumerate((labelled_findings() if findings is None else findings)[:MAX_FINDINGS])]
+    rows = (labelled_findings() if findings is None else findings)[:MAX_FINDINGS]
     if not rows:
         raise ValueError("no labelled findings")
+    # an Arrow table becomes rows without Python workers
+    given = spark.createDataFrame(pa.table({"id": pa.array(range(len(rows)), pa.int64()), "text": pa.array([t for t, _ in rows], pa.string()), "y": pa.array([y for _, y in rows], pa.int32())}))
     forest = Forest(Dictionary.of(words or _FEW_WORDS))
-    made = _candidates(spark.createDataFrame(rows, "id long, text string, y int"), "id", "text", forest.words, ("y",))
+    made = _candidates(given, "id", "text", forest.words, ("y",))
     got = made.select("_id", "y", F.try_element_at("_feats", F.lit(-1)).alias("f")).orderBy("_id").collect()
     got = [g for g in got if g["f"] is not None]
     x = np.array([[float(v) for v in g["f"]] for g in got])
