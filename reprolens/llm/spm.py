@@ -208,7 +208,11 @@ class Codec:
             marked = pc.replace_substring(own, " ", MARK)
             if self.model.dummy_prefix:
                 marked = pc.if_else(pc.equal(marked, ""), marked, pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), marked, pa.scalar("", pa.large_string())))
-            lists = pc.split_pattern(pc.replace_substring_regex(marked, f"([^{MARK}]){MARK}", rf"\1{_SEP}{MARK}"), _SEP)
+            # a separator before every run of markers, by plain replacements; two passes join all of a run
+            marked = pc.replace_substring(marked, MARK, _SEP + MARK)
+            for _ in range(2):
+                marked = pc.replace_substring(marked, MARK + _SEP + MARK, MARK + MARK)
+            lists = pc.split_pattern(marked, _SEP)
             coded = lists.flatten().dictionary_encode()
             ids = self._chunks(coded.dictionary.to_pylist())
             ends = np.asarray(lists.offsets).astype(np.int64)
@@ -286,7 +290,7 @@ def verify(docs: DataFrame, path: str, threads: int = 2, parity: bool = True, id
             import sentencepiece
 
             other = sentencepiece.SentencePieceProcessor(model_file=path)
-        for b in blocks(batches):
+        for b in blocks(batches, 8 << 20):
             texts = b.column(1).to_pylist()
             ids = c.encode(b.column(1))
             lists = [x.tolist() for x in ids]
