@@ -134,6 +134,17 @@ class ChunkEncoder:
         return out
 
 
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def encoder(path: str, by_chunk: bool) -> ChunkEncoder:
+    """One encoder for each worker process, kept between tasks: made anew for each, it
+    left more memory behind."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path, by_chunk)
+    return _ENCODERS[path]
+
+
 def pieces(
     docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -147,8 +158,7 @@ def pieces(
     by_chunk = chunked(tokenizer)
 
     def cut_up(batches):
-        # made anew for each task: what an idle worker keeps counts against the executor
-        enc = ChunkEncoder(tokenizer, by_chunk)
+        enc = encoder(tokenizer, by_chunk)
         for b in blocks(batches, 1 << 20):
             rows = []
             for d, ids in zip(b.column(0).to_pylist(), enc.batch(b.column(1)), strict=True):
@@ -160,7 +170,6 @@ def pieces(
                 [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
-        del enc
         release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("t")).mapInArrow(cut_up, PIECES)
