@@ -3,8 +3,8 @@ entropies, (expected) mutual information and adjusted mutual information.
 
 Contingency counts come from one grouped aggregation; the indices are SQL over the
 cells. Expected mutual information needs log-factorials, which Spark has no function
-for: a table of cumulative logs up to the number of rows is built from a window over
-blocks, so it is made by many tasks.
+for: they are an expression (Stirling's series), so nothing grows with the number of
+rows but the overlaps that are summed.
 """
 
 from __future__ import annotations
@@ -78,14 +78,13 @@ def mutual_information(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return m.groupBy(*by).agg(F.sum("n").alias("n"), mi.alias("mi"), hx.alias("hx"), hy.alias("hy"))
 
 
-def log_factorials(spark, n: int, block: int = 100_000) -> DataFrame:
-    """``i, lf``: ln(i!) for 0..n, summed within blocks and then over blocks."""
-    rows = spark.range(0, n + 1).select(F.col("id").alias("i"), F.floor(F.col("id") / block).alias("blk"), F.when(F.col("id") > 0, F.ln(F.col("id").cast("double"))).otherwise(0.0).alias("v"))
-    inside = rows.withColumn("s", F.sum("v").over(Window.partitionBy("blk").orderBy("i")))
-    ends = inside.groupBy("blk").agg(F.max("s").alias("e"))
-    # one row per block
-    before = ends.withColumn("_all", F.lit(1)).withColumn("o", F.coalesce(F.sum("e").over(Window.partitionBy("_all").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    return inside.join(F.broadcast(before.select("blk", "o")), "blk").select("i", (F.col("s") + F.col("o")).alias("lf"))
+def log_factorial(i: Column) -> Column:
+    """ln(i!) of a whole number from 0: of exact products below 32, Stirling's series from
+    there (its next term is below 1e-13)."""
+    small = F.array(*(F.lit(math.log(math.factorial(x))) for x in range(32)))
+    x = i.cast("double")
+    series = (x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - (1 / 360 - 1 / (1260 * x * x)) / (x * x)) / x
+    return F.when(i < 32, F.get(small, i.cast("int"))).otherwise(series)
 
 
 def expected_mi_margins(a: np.ndarray, b: np.ndarray) -> float:
@@ -105,27 +104,22 @@ def expected_mi_margins(a: np.ndarray, b: np.ndarray) -> float:
     return total
 
 
-def expected_mi(cells: DataFrame) -> DataFrame:
-    """One row, emi: the sum over pairs of margins and possible overlaps, in SQL."""
+def expected_mi(cells: DataFrame, block: int = 10_000) -> DataFrame:
+    """One row, emi: the sum over pairs of margins and possible overlaps, in SQL. Overlaps
+    are dealt to tasks in blocks; equal margins are summed once."""
     spark = cells.sparkSession
-    total = cells.agg(F.sum("n").alias("n")).first()["n"] or 0
-    lf = log_factorials(spark, int(total))
-    a = cells.groupBy("x").agg(F.sum("n").alias("a"))
-    b = cells.groupBy("y").agg(F.sum("n").alias("b"))
-    n = F.lit(int(total))
-    pair = a.crossJoin(b)  # one row for each cell of the table of labels
-    low = F.greatest(F.lit(1), F.col("a") + F.col("b") - n)
-    each = pair.where(low <= F.least("a", "b")).select("a", "b", F.explode(F.sequence(low, F.least("a", "b"))).alias("k"))
-    for name, index in (
-        ("la", F.col("a")), ("lb", F.col("b")), ("lna", n - F.col("a")), ("lnb", n - F.col("b")),
-        ("lk", F.col("k")), ("lak", F.col("a") - F.col("k")), ("lbk", F.col("b") - F.col("k")), ("lr", n - F.col("a") - F.col("b") + F.col("k")),
-    ):
-        each = each.withColumn("_i", index).join(lf.toDF("_i", name), "_i").drop("_i")
-    last = lf.where(F.col("i") == n).select(F.col("lf").alias("ln"))
-    each = each.crossJoin(F.broadcast(last))
-    log_p = F.col("la") + F.col("lb") + F.col("lna") + F.col("lnb") - F.col("ln") - F.col("lk") - F.col("lak") - F.col("lbk") - F.col("lr")
-    k = F.col("k").cast("double")
-    return each.agg(F.coalesce(F.sum(k / n * F.ln(n * k / (F.col("a").cast("double") * F.col("b"))) * F.exp(log_p)), F.lit(0.0)).alias("emi"))
+    a = cells.groupBy("x").agg(F.sum("n").alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("na"))
+    b = cells.groupBy("y").agg(F.sum("n").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("nb"))
+    pair = a.crossJoin(b).crossJoin(cells.agg(F.sum("n").alias("n")))  # a row for each pair of margins
+    low, high = F.greatest(F.lit(1), F.col("a") + F.col("b") - F.col("n")), F.least("a", "b")
+    blocks = pair.where(low <= high).select("a", "b", "n", (F.col("na") * F.col("nb")).alias("times"), high.alias("high"), F.explode(F.sequence(low, high, F.lit(block).cast("long"))).alias("low"))
+    dealt = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b", "low")
+    each = dealt.select("a", "b", "n", "times", F.explode(F.sequence("low", F.least("high", F.col("low") + (block - 1)))).alias("k"))
+    n, a, b, k = (F.col(c) for c in ("n", "a", "b", "k"))
+    ln = log_factorial
+    log_p = ln(a) + ln(b) + ln(n - a) + ln(n - b) - ln(n) - ln(k) - ln(a - k) - ln(b - k) - ln(n - a - b + k)
+    share = k / n * F.ln(n.cast("double") * k / (a.cast("double") * b)) * F.exp(log_p)
+    return each.agg(F.coalesce(F.sum(F.col("times") * share), F.lit(0.0)).alias("emi"))
 
 
 def table_indices(table: np.ndarray) -> tuple[int, float | None, float | None]:

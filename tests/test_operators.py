@@ -308,3 +308,21 @@ def test_fronts_say_what_they_compare(spark):
     with pytest.warns(UserWarning):
         other = evidence.pareto_of_fits(fits, one.where("split_id = 's1' or sample_id = 'a'"), {"qe": "min", "te": "min"})
     assert {r["comparison_scope"] for r in other.collect()} == {"distinct_analysis_sets"}
+
+
+def test_expected_mi_needs_no_table_of_rows(spark):
+    """Log-factorials are an expression: nothing is joined or kept for each row."""
+    import math
+
+    from reprolens.functions import agreement
+
+    got = spark.createDataFrame([(i,) for i in [*range(40), 10**4, 10**7, 10**10]], "i long").select("i", agreement.log_factorial(F.col("i")).alias("lf")).collect()
+    assert all(r["lf"] == pytest.approx(math.lgamma(r["i"] + 1), rel=1e-14, abs=1e-14) for r in got)
+    for table, block in (([[2, 5, 0], [1, 4, 9], [8, 0, 0]], 3), ([[7, 7], [7, 7]], 10_000), ([[40_000, 20_001], [9, 90_000]], 10_000)):
+        t = np.array(table)
+        rows = [(i, j, int(n)) for (i, j), n in np.ndenumerate(t) if n]
+        emi = agreement.expected_mi(spark.createDataFrame(rows, "x int, y int, n long"), block)
+        assert emi.first()["emi"] == pytest.approx(agreement.expected_mi_margins(t.sum(1), t.sum(0)), rel=1e-8)
+        plan = emi._jdf.queryExecution().optimizedPlan().toString()
+        assert "Range" not in plan and "Join Inner, (" not in plan
+    assert agreement.expected_mi(spark.createDataFrame([], "x int, y int, n long")).first()["emi"] == 0
