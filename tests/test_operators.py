@@ -326,3 +326,10 @@ def test_expected_mi_needs_no_table_of_rows(spark):
         plan = emi._jdf.queryExecution().optimizedPlan().toString()
         assert "Range" not in plan and "Join Inner, (" not in plan
     assert agreement.expected_mi(spark.createDataFrame([], "x int, y int, n long")).first()["emi"] == 0
+
+
+def test_ami_query_needs_no_table_of_rows(spark):
+    from reprolens.plans import partitions
+
+    plan = partitions.ami(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan and "Join Inner, (" not in plan
