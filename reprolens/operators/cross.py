@@ -13,49 +13,52 @@ from ..functions.agreement import pair_indices
 from ..functions.stats import finite, quantile8
 from .dataset import Dataset
 from .preprocess import Preprocess
-from .train import MAX_BYTES, prepared
+from .train import MAX_BYTES, members, prepared, roles, shared_rows
 
 METHODS = ("kmeans", "ward", "gmm")
 #: Ward keeps all distances of a split up to so many rows; beyond, rows only.
 WARD_DISTANCES = 3000
+#: Records that a task hands to Spark at once.
+BLOCK = 50_000
 
 RECORD = "split_id string, method string, k int, seed long, task_id string, sample_id string, role string, label int, detail string, error string"
 
 
 def fit_references(data: Dataset, splits: DataFrame, ks: list[int], methods: tuple[str, ...] = METHODS, pre: Preprocess | dict[str, Preprocess] | None = None, seeds: tuple[int, ...] = (1,), starts: int = 50, max_bytes: int = MAX_BYTES, layer_weights: dict[str, float] | None = None, normalize_layers: bool = True) -> DataFrame:
-    """Labels of every split, method and k, one task per split and method; a failure is a
-    row with its error for each k. Every layer is transformed by itself and enters with the
-    square root of its effective weight, as in the maps' distance. Held-out complete rows go to the nearest centre of
-    the training clusters (the first of equals); incomplete rows stay unlabelled."""
+    """Labels of every split, method and k, one task per split and method (k-means and
+    mixtures: and k); a failure is a row with its error for each k. Every layer is transformed
+    by itself and enters with the square root of its effective weight, as in the maps'
+    distance. Held-out complete rows go to the nearest centre of the training clusters (the
+    first of equals); incomplete rows stay unlabelled."""
     if any(m not in METHODS for m in methods):
         raise ValueError(f"methods are {', '.join(METHODS)}")
     spark = data.df.sparkSession
     names = list(data.variables)
     if data.df.count() * 8 * len(names) > max_bytes:
         raise ValueError(f"the rows take over {max_bytes} bytes")
-    table = data.df.select("sample_id", *names).orderBy("sample_id").toPandas()
     columns = {k: list(v) for k, v in data.layers.items()}
-    shared = spark.sparkContext.broadcast((table["sample_id"].to_numpy(), {k: table[v].to_numpy(float) for k, v in columns.items()}))
-    tasks = [(m, s) for m in methods for s in (seeds if m == "kmeans" else (0,))]
-    jobs = splits.groupBy("split_id").agg(F.collect_list(F.struct("sample_id", "role")).alias("members")).crossJoin(F.broadcast(spark.createDataFrame(tasks, "method string, seed long")))
+    shared = shared_rows(data)
+    tasks = [(m, s, some) for m in methods for s in (seeds if m == "kmeans" else (0,)) for some in ([list(ks)] if m == "ward" else [[k] for k in ks])]
+    jobs = members(splits).crossJoin(F.broadcast(spark.createDataFrame(tasks, "method string, seed long, ks array<int>")))
+    n_jobs = splits.select("split_id").distinct().count() * len(tasks)
 
     def run(batches):
         ids, layers = shared.value
-        place = {s: i for i, s in enumerate(ids)}
+        ids = ids.to_numpy(zero_copy_only=False)
+        place = pd.Index(ids)
         for batch in batches:
             for job in batch.itertuples(index=False):
-                role = np.full(len(ids), "", object)
-                for m in job.members:
-                    role[place[m["sample_id"]]] = m["role"]
+                role = roles(place, job.members)
                 task = lambda k: f"{job.split_id}__{job.method}__k{k}" + (f"__s{job.seed}" if job.method == "kmeans" else "")  # noqa: E731, B023
-                train = role == "analysis"
-                tree, rows = None, []
-                for k in ks:
+                train, named = role == "analysis", np.flatnonzero(role != "")
+                tree, z = None, None
+                for k in map(int, job.ks):
                     head = (job.split_id, job.method, k, job.seed, task(k))
                     try:
-                        done, weight, _ = prepared(layers, columns, train, pre, layer_weights, normalize_layers)
-                        z = np.column_stack([done[name] * np.sqrt(weight[name]) for name in done])
-                        own = z[train]
+                        if z is None:
+                            done, weight, _ = prepared(layers, columns, train, pre, layer_weights, normalize_layers)
+                            z = np.column_stack([done[name] * np.sqrt(weight[name]) for name in done])
+                            own = z[train]
                         if np.isnan(own).any():
                             raise ValueError("references need complete training rows")
                         if len(own) <= k:
@@ -64,7 +67,7 @@ def fit_references(data: Dataset, splits: DataFrame, ks: list[int], methods: tup
                         if job.method == "kmeans":
                             label, _ = kernels.kmeans(own, k, seed, starts)
                         elif job.method == "ward":
-                            tree = tree or (kernels.linkage(kernels.euclidean(own), "ward") if len(own) <= WARD_DISTANCES else kernels.ward_chain(own))
+                            tree = tree or (kernels.linkage(kernels.euclidean(own), "ward") if len(own) <= WARD_DISTANCES else kernels.ward_tree(own))
                             label = kernels.cut_tree(tree, len(own), k)
                         else:
                             label, model, bic = kernels.gaussian_mixture(own, k, seed)
@@ -74,13 +77,25 @@ def fit_references(data: Dataset, splits: DataFrame, ks: list[int], methods: tup
                         every[train] = label
                         rest = (role == "assessment") & ~np.isnan(z).any(1)
                         if rest.any():
-                            every[rest] = np.argmin(((z[rest][:, None] - centre[None]) ** 2).sum(2), 1) + 1
-                        rows += [(*head, s, r, int(c) or None, detail, None) for s, r, c in zip(ids, role, every, strict=True) if r]
+                            every[rest] = np.argmin(kernels.squares(z[rest].T, centre), 0) + 1
                     except Exception as e:
-                        rows.append((*head, None, None, None, None, str(e)))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")]).astype({"label": "Int32"})
-
-    return jobs.repartition(max(1, jobs.count())).mapInPandas(run, RECORD).persist()
+                        yield _records(head, [None], [None], [None], None, str(e))
+                        continue
+                    for i in range(0, len(named), BLOCK):
+                        part = named[i : i + BLOCK]
+                        yield _records(head, ids[part], role[part], every[part], detail, None)
+
+    return jobs.repartition(max(1, n_jobs)).mapInPandas(run, RECORD).persist()
+
+
+def _records(head: tuple, ids, roles, labels, detail: str | None, error: str | None) -> pd.DataFrame:
+    """Rows of ``RECORD`` for one task; label 0 is null."""
+    out = pd.DataFrame({"sample_id": ids, "role": roles, "label": pd.Series(labels, dtype="Int32")})
+    out["label"] = out["label"].mask(out["label"] == 0)
+    names = [c.split()[0] for c in RECORD.split(", ")]
+    for name, value in zip((*names[:5], "detail", "error"), (*head, detail, error), strict=True):
+        out[name] = value
+    return out[names]
 
 
 def nearest_centroid(rows: DataFrame, centres: DataFrame, columns: list[str], id_col: str = "sample_id") -> DataFrame:

@@ -146,6 +146,31 @@ FIT = (
 )
 
 
+def shared_rows(data: Dataset):
+    """Broadcast (identifiers as an Arrow array, matrix of each layer) in order of identifier:
+    the callers have checked the size."""
+    table = data.df.select("sample_id", *data.variables).orderBy("sample_id").toArrow()
+    ids = table["sample_id"].combine_chunks()
+    return data.df.sparkSession.sparkContext.broadcast((ids, {k: np.array([table[c].to_numpy() for c in v], float).T for k, v in data.layers.items()}))
+
+
+def members(splits: DataFrame) -> DataFrame:
+    """``split_id, members``: identifiers by role."""
+    by_role = splits.groupBy("split_id", "role").agg(F.collect_list("sample_id").alias("ids"))
+    return by_role.groupBy("split_id").agg(F.collect_list(F.struct("role", "ids")).alias("members"))
+
+
+def roles(place: pd.Index, members) -> np.ndarray:
+    """Role of each identifier in ``place``; of those in no role, an empty text."""
+    out = np.full(len(place), "", object)
+    for m in members:
+        at = place.get_indexer(np.asarray(m["ids"], object))
+        if (at < 0).any():
+            raise KeyError("a split names unknown samples")
+        out[at] = m["role"]
+    return out
+
+
 def fit_ensemble(data: Dataset, spec: Spec, splits: DataFrame, pre: Preprocess | dict[str, Preprocess] | None = None, fail_fast: bool = False, max_bytes: int = MAX_BYTES) -> Ensemble:
     """Train every model on every split, one task each; ``pre`` is one for all layers or one for each."""
     pre = pre or Preprocess()
@@ -155,39 +180,34 @@ def fit_ensemble(data: Dataset, spec: Spec, splits: DataFrame, pre: Preprocess |
     size = rows * 8 * len(data.variables)
     if size > max_bytes:
         raise ValueError(f"the rows take {size} bytes, over {max_bytes}: train with fit_distributed")
-    # the size was checked above
-    table = data.df.select("sample_id", *data.variables).orderBy("sample_id").toPandas()
-    ids = table["sample_id"].to_numpy()
-    shared = spark.sparkContext.broadcast((ids, {k: table[v].to_numpy(float) for k, v in names.items()}))
-    place = {s: i for i, s in enumerate(ids)}
+    shared = shared_rows(data)  # the size was checked above
     budget = expand(spark, spec)
-    sets = splits.groupBy("split_id").agg(F.collect_list(F.struct("sample_id", "role")).alias("members"))
-    jobs = sets.crossJoin(F.broadcast(budget)).withColumn("fit_id", F.concat_ws("__", "split_id", "model_id"))
-    expected = jobs.count()
+    jobs = members(splits).crossJoin(F.broadcast(budget)).withColumn("fit_id", F.concat_ws("__", "split_id", "model_id"))
+    expected = splits.select("split_id").distinct().count() * budget.count()
+    header = [c.split()[0] for c in FIT.split(", ")]
 
     def run(batches):
         every, layers = shared.value
+        every = every.to_numpy(zero_copy_only=False)
+        place = pd.Index(every)
         for batch in batches:
-            out = []
             for job in batch.itertuples(index=False):
                 head = (job.fit_id, job.split_id, job.grid_id, job.xdim, job.ydim, job.seed, job.model_id)
-                role = np.full(len(every), "", object)
-                for m in job.members:
-                    role[place[m["sample_id"]]] = m["role"]
+                role = roles(place, job.members)
                 try:
                     f = fit_one(layers, names, role == "analysis", job.xdim, job.ydim, kernels.sample_seed(job.seed, job.fit_id), spec, pre)
                 except Exception as e:
                     if fail_fast:
                         raise
-                    out.append((*head, str(e), [], None, None, None, [], [], [], [], [], {}))
+                    yield pd.DataFrame([(*head, str(e), [], None, None, None, [], [], [], [], [], {})], columns=header)
                     continue
                 codes = [{"layer": k, "unit": u + 1, "codes": c[u].tolist()} for k, c in f["codes"].items() for u in range(len(c))]
                 kept = role != ""
-                out.append((
+                row = (
                     *head, None, f["warnings"], f["qe"], f["te"], f["empty"], every[kept].tolist(), role[kept].tolist(),
                     [int(b) or None for b in f["bmu"][kept]], [None if np.isnan(x) else float(x) for x in f["distance"][kept]], codes, f["weights"],
-                ))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in FIT.split(", ")])
+                )
+                yield pd.DataFrame([row], columns=header)
 
     wide = jobs.repartition(max(1, min(expected, 512))).mapInPandas(run, FIT).persist()
     fits = wide.select(*[c.split()[0] for c in FIT.split(", ")][:12], "weights")

@@ -104,3 +104,55 @@ def test_ward_without_distances():
         for k in range(1, min(n, 6)):
             assert (kernels.cut_tree(full, n, k) == kernels.cut_tree(chain, n, k)).all()
     assert kernels.cut_tree(kernels.ward_chain(np.repeat(r.normal(size=(20, 3)), 5, 0)), 100, 3).max() == 3
+
+
+def _ward_distance(c, s):
+    d = 2 * (s[:, None] * s) / (s[:, None] + s) * sum((c[:, None, j] - c[None, :, j]) ** 2 for j in range(c.shape[1]))
+    np.fill_diagonal(d, np.inf)
+    return d
+
+
+def test_ward_tree_of_many_rows():
+    """Rounds of nearest pairs give the tree of the chains, without a pass over all rows for each merge."""
+    r = np.random.default_rng(1)
+    for n, whole in ((2, False), (30, False), (700, False), (700, True)):
+        c, s = r.normal(size=(n, 3)), np.floor(r.pareto(1, n) * 3 + 1)
+        c = np.round(3 * c) if whole else c
+        ask = np.sort(r.choice(n, n // 2, replace=False))
+        assert (kernels.ward_nearest(c, s, ask) == _ward_distance(c, s).argmin(1)[ask]).all()
+    one = r.normal(size=(2500, 3)) * [1, 3, 0.1]
+    copies = np.repeat(r.normal(size=(600, 3)), 5, 0)[r.permutation(3000)]
+    for x in (one, copies):
+        chain, tree = kernels.ward_chain(x), kernels.ward_tree(x, few=40)
+        assert np.allclose([m[2] for m in chain], [m[2] for m in tree])
+        for k in (1, 2, 3, 10, 100):
+            assert (kernels.cut_tree(chain, len(x), k) == kernels.cut_tree(tree, len(x), k)).all()
+    ties = kernels.ward_tree(r.integers(0, 12, (4000, 3)).astype(float), few=10)
+    assert len(ties) == 3999 and len({c for m in ties for c in m[:2]}) == 2 * 3999
+
+
+def test_kmeans_moves_are_those_of_one_point_after_the_other():
+    r = np.random.default_rng(5)
+    x = np.column_stack([r.normal(size=6000), r.normal(size=6000) ** 2, np.round(r.normal(size=6000), 1)])
+    k, label = 4, r.integers(0, 4, 6000)
+    centre = np.array([x[label == c].mean(0) for c in range(k)])
+    got, at = label.copy(), centre.copy()
+    kernels._refine(np.ascontiguousarray(x.T), got, at)
+    moved = True
+    while moved:
+        moved, n = False, np.bincount(label, minlength=k).astype(float)
+        for i in range(len(x)):
+            own = label[i]
+            if n[own] <= 1:
+                continue
+            d = ((x[i] - centre) ** 2).sum(1)
+            gain = n / (n + 1) * d
+            gain[own] = n[own] / (n[own] - 1) * d[own]
+            to = int(np.argmin(gain))
+            if to != own and gain[to] < gain[own] - 1e-12:
+                centre[own] -= (x[i] - centre[own]) / (n[own] - 1)
+                centre[to] += (x[i] - centre[to]) / (n[to] + 1)
+                n[own] -= 1
+                n[to] += 1
+                label[i], moved = to, True
+    assert (got == label).all() and np.allclose(at, centre, rtol=1e-12)
