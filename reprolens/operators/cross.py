@@ -33,14 +33,15 @@ def fit_references(data: Dataset, splits: DataFrame, ks: list[int], methods: tup
     if any(m not in METHODS for m in methods):
         raise ValueError(f"methods are {', '.join(METHODS)}")
     spark = data.df.sparkSession
-    names = list(data.variables)
-    if data.df.count() * 8 * len(names) > max_bytes:
+    if data.df.count() * 8 * len(data.variables) > max_bytes:
         raise ValueError(f"the rows take over {max_bytes} bytes")
     columns = {k: list(v) for k, v in data.layers.items()}
     shared = shared_rows(data)
     tasks = [(m, s, some) for m in methods for s in (seeds if m == "kmeans" else (0,)) for some in ([list(ks)] if m == "ward" else [[k] for k in ks])]
-    jobs = members(splits).crossJoin(F.broadcast(spark.createDataFrame(tasks, "method string, seed long, ks array<int>")))
-    n_jobs = splits.select("split_id").distinct().count() * len(tasks)
+    names = sorted(r["split_id"] for r in splits.select("split_id").distinct().collect())  # the budget
+    jobs = [(name, *t) for name in names for t in tasks]
+    every_job = spark.createDataFrame([(*j, key) for j, key in zip(jobs, apart(spark, len(jobs)), strict=True)], "split_id string, method string, seed long, ks array<int>, key long")
+    dealt = members(splits).join(F.broadcast(every_job), "split_id").repartition(max(1, len(jobs)), "key")
 
     def run(batches):
         ids, layers = shared.value
@@ -85,7 +86,15 @@ def fit_references(data: Dataset, splits: DataFrame, ks: list[int], methods: tup
                         part = named[i : i + BLOCK]
                         yield _records(head, ids[part], role[part], every[part], detail, None)
 
-    return jobs.repartition(max(1, n_jobs)).mapInPandas(run, RECORD).persist()
+    return dealt.mapInPandas(run, RECORD).persist()
+
+
+def apart(spark, n: int) -> list[int]:
+    """Numbers that ``repartition(n, ...)`` puts into a partition each, so that no two long
+    tasks share one."""
+    found = spark.range(60 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect() if n else []
+    keys = {r["p"]: r["id"] for r in found}
+    return [keys.get(i, i) for i in range(n)]
 
 
 def _records(head: tuple, ids, roles, labels, detail: str | None, error: str | None) -> pd.DataFrame:

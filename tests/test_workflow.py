@@ -112,3 +112,13 @@ def test_sensitivity_keeps_failures(spark, data):
     got = {(r["a"], r["b"]): r["comparison_status"] for r in out["contrasts"].collect()}
     assert got["a", "b"] == "evaluated" and got["a", "bad"] == "scenario_failed_b"
     assert out["samples"].where("shared_jaccard < 1").count() == 0
+
+
+def test_reference_tasks_do_not_share_a_partition(spark, data):
+    from pyspark.sql import functions as F
+
+    for n in (1, 6, 40):
+        keys = spark.createDataFrame([(k,) for k in cross.apart(spark, n)], "key long")
+        assert keys.repartition(n, "key").select(F.spark_partition_id().alias("p")).distinct().count() == n
+    records = cross.fit_references(data, resample.subsample(data.df, 3, 0.8, 1), [2, 3], ("kmeans",), starts=2)
+    assert records.select(F.spark_partition_id().alias("p"), "task_id").distinct().groupBy("p").count().where("count > 1").count() == 0
