@@ -148,8 +148,11 @@ class Words:
 
 def assemble(parts: list[bytes], codes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     """Arrays of unsigned 32-bit ids: the i-th is the parts of ``codes[starts[i]:starts[i + 1]]`` in a row."""
-    flat = np.frombuffer(b"".join(parts), "<u4")
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    return gather(np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4, codes, starts)
+
+
+def gather(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """``assemble`` of parts that lie one after the other in ``flat``, part i with ``sizes[i]`` ids."""
     first = np.cumsum(sizes) - sizes
     n = sizes[codes]
     ends = np.concatenate([[0], np.cumsum(n)])

@@ -5,8 +5,9 @@ and byte fallback are rebuilt as a tokenizers pipeline: a Unigram model from its
 scores, or a BPE model whose merges follow from the scores of the merged pieces.
 
 No piece has the marker after another character, so a text falls into independent
-chunks, each beginning with a run of markers. Distinct chunks are encoded once per
-worker, as multithreaded batches, and documents are assembled by array gathers.
+chunks, each beginning with a run of markers. Distinct chunks of a block are encoded as
+multithreaded batches, those that a worker still knows from earlier blocks are looked up
+in an Arrow array, and documents are assembled by array gathers.
 
 Where two Unigram segmentations score exactly the same (c|cc and cc|c) the library's
 choice may differ from sentencepiece's; ``verify`` reports such a text as no parity.
@@ -17,8 +18,8 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from array import array
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import assemble, blocks, text_or_empty
+from ._common import blocks, gather, release, text_or_empty
 
 MARK = "▁"
 #: Splits chunks in a batch; a text that holds it is encoded by itself.
@@ -147,9 +148,10 @@ class Model:
 
 
 class Codec:
-    """Encoder and decoder of one model file. Chunks beyond ``most`` known ones are forgotten."""
+    """Encoder and decoder of one model file. Of the known chunks, beyond ``most`` bytes with
+    their ids, those met in one block only are forgotten, and the seldom met down to half."""
 
-    def __init__(self, path: str, threads: int = 1, most: int = 800_000):
+    def __init__(self, path: str, threads: int = 1, most: int = 16 << 20):
         # read when the library starts its pool
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
@@ -157,7 +159,9 @@ class Codec:
         self.whole = self.model.tokenizer()
         self.part = self.model.tokenizer()
         self.part.normalizer = None
-        self.known: dict[str, bytes] = {}
+        # known chunks, their ids in a row, how many ids each has, in how many later blocks each was met
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.sizes, self.hits = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.most = most
         inner = [p for p, _, t in self.model.pieces if t in (NORMAL, USER) and MARK in p.lstrip(MARK)]
         # Unigram scores are compared over the whole text, but no piece spans two chunks either
@@ -175,9 +179,12 @@ class Codec:
             else:
                 self.table.append(p.replace(MARK, " ").encode())
 
-    def _batch(self, tokenizer, texts: list[str]) -> list:
+    def _batch(self, tokenizer, texts: list[str], rows: int):
+        """Encodings of ``texts``, made for so many at once: the library's are large."""
         # the fast way does not say what the unknown parts are
-        return (tokenizer.encode_batch if self.bytes else tokenizer.encode_batch_fast)(texts, add_special_tokens=False)
+        some = tokenizer.encode_batch if self.bytes else tokenizer.encode_batch_fast
+        for at in range(0, len(texts), rows):
+            yield from some(texts[at : at + rows], add_special_tokens=False)
 
     def _ids(self, encoding) -> list[int]:
         if not self.bytes or self.model.unk_id not in encoding.ids:
@@ -187,15 +194,35 @@ class Codec:
             out += [self.bytes[b] for b in part.encode()] if i == self.model.unk_id else [i]
         return out
 
-    def _chunks(self, vocab: list[str]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known = {}
-        known = self.known
-        new = [c for c in vocab if c not in known]
-        if new:
-            for c, e in zip(new, self._batch(self.part, new), strict=True):
-                known[c] = array("I", self._ids(e)).tobytes()
-        return [known[c] for c in vocab]
+    def _forget(self) -> None:
+        if self.known.nbytes + self.flat.nbytes <= self.most:
+            return
+        widths = np.asarray(pc.binary_length(self.known)).astype(np.int64) + 8 + 4 * self.sizes
+        often = np.argsort(-self.hits, kind="stable")
+        stays = np.zeros(len(often), bool)
+        stays[often] = (np.cumsum(widths[often]) <= self.most // 2) & (self.hits[often] > 0)
+        self.flat = self.flat[np.repeat(stays, self.sizes)]
+        self.known, self.sizes, self.hits = self.known.filter(pa.array(stays)), self.sizes[stays], self.hits[stays] // 2
+
+    def _chunks(self, vocab: pa.Array) -> np.ndarray:
+        """Places of distinct chunks among the known ones, after encoding those that were not."""
+        found = pc.index_in(vocab, value_set=self.known)
+        missing = np.asarray(pc.is_null(found).to_numpy(zero_copy_only=False), bool)
+        places = np.asarray(pc.fill_null(found, 0)).astype(np.int64)
+        self.hits[places[~missing]] += 1
+        places[missing] = len(self.known) + np.arange(np.count_nonzero(missing))
+        if missing.any():
+            new = vocab.filter(pa.array(missing))
+            texts, flat, sizes = new.to_pylist(), [], []
+            # of the library's objects and lists only one part's are there at a time
+            for at in range(0, len(texts), 16_384):
+                ids = [self._ids(e) for e in self._batch(self.part, texts[at : at + 16_384], 16_384)]
+                sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+                flat.append(np.fromiter(chain.from_iterable(ids), "<u4", int(sizes[-1].sum())))
+            self.known = pa.concat_arrays([self.known, new])
+            self.flat, self.sizes = np.concatenate([self.flat, *flat]), np.concatenate([self.sizes, *sizes])
+            self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
+        return places
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text (null: none)."""
@@ -214,14 +241,15 @@ class Codec:
                 marked = pc.replace_substring(marked, MARK + _SEP + MARK, MARK + MARK)
             lists = pc.split_pattern(marked, _SEP)
             coded = lists.flatten().dictionary_encode()
-            ids = self._chunks(coded.dictionary.to_pylist())
+            places = self._chunks(coded.dictionary)
             ends = np.asarray(lists.offsets).astype(np.int64)
-            made = assemble(ids, np.asarray(coded.indices).astype(np.int64), ends - ends[0])
+            made = gather(self.flat, self.sizes, places[np.asarray(coded.indices)], ends - ends[0])
+            self._forget()
             for at, x in zip(plain.tolist(), made, strict=True):
                 out[at] = x
         rest = [i for i, x in enumerate(out) if x is None]
         if rest:
-            found = self._batch(self.whole, [t or "" for t in texts.take(pa.array(rest)).to_pylist()])
+            found = self._batch(self.whole, [t or "" for t in texts.take(pa.array(rest)).to_pylist()], 64)
             for at, e in zip(rest, found, strict=True):
                 # the pipeline would put a marker before an empty text
                 out[at] = np.array(self._ids(e) if texts[at].as_py() else [], "<u4")
@@ -290,18 +318,22 @@ def verify(docs: DataFrame, path: str, threads: int = 2, parity: bool = True, id
             import sentencepiece
 
             other = sentencepiece.SentencePieceProcessor(model_file=path)
-        for b in blocks(batches, 8 << 20):
-            texts = b.column(1).to_pylist()
-            ids = c.encode(b.column(1))
-            lists = [x.tolist() for x in ids]
-            same = [a == x for a, x in zip(other.encode(texts, num_threads=threads), lists, strict=True)] if parity else [None] * len(texts)
+        for b in blocks(batches, 4 << 20):
+            texts, ids, same, whole = b.column(1).to_pylist(), c.encode(b.column(1)), [], []
+            # Python's lists of ids take ten times the text, so few rows have them at a time
+            rows = max(1, b.num_rows * (1 << 19) // max(b.nbytes, 1))
+            for at in range(0, b.num_rows, rows):
+                some, lists = texts[at : at + rows], [x.tolist() for x in ids[at : at + rows]]
+                same += [a == x for a, x in zip(other.encode(some, num_threads=threads), lists, strict=True)] if parity else [None] * len(some)
+                whole += [c.decode(x) == t for x, t in zip(lists, some, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
-                    pa.array([c.decode(x) == t for x, t in zip(lists, texts, strict=True)], pa.bool_()), pa.array(same, pa.bool_()),
+                    pa.array(whole, pa.bool_()), pa.array(same, pa.bool_()),
                 ],
                 names=["id", "n_ids", "ids_crc32", "round_trip", "parity"],
             )
+        release()
 
     made = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
     made = made.mapInArrow(of, f"id {kind}, n_ids long, ids_crc32 long, round_trip boolean, parity boolean")

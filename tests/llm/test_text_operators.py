@@ -2,14 +2,19 @@
 
 import gzip
 import hashlib
+import os
 import random
 import struct
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from reprolens.llm import exact_dedup, fingerprints, packing, spm, warc
@@ -148,6 +153,50 @@ def test_sentencepiece_parity_and_round_trip(spark):
     assert spm.encode(empty(spark), path).count() == 0
 
 
+def test_sentencepiece_forgets_chunks():
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    other = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(6)
+    c, seen = spm.Codec(path, most=3000), []
+    for _ in range(40):
+        texts = ["".join(r.choice("abe▁ ") for _ in range(r.randint(0, 40))) for _ in range(20)] + ["the cat " * 3, "x" * 4000 * r.randint(0, 1)]
+        assert [x.tolist() for x in c.encode(pa.array(texts))] == other.encode(texts)
+        assert c.known.nbytes + c.flat.nbytes <= 3000 and len(c.known) == len(c.sizes) == len(c.hits) and c.sizes.sum() == len(c.flat)
+        seen.append(set(c.known.to_pylist()))
+    assert any(len(x) < len(y) for x, y in zip(seen[1:], seen, strict=False)) and sum("▁cat" in x for x in seen) > 20
+
+
+def test_sentencepiece_worker_memory(spark, tmp_path, monkeypatch):
+    """Two workers share an executor's 3,000 MB with its JVM; one took 960 MB."""
+    made = []
+    df = docs(spark, ["x"])
+    whole = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *a, **b: made.append(f) or whole(self, f, *a, **b))
+    spm.verify(df, vocabulary("piece_bpe_32k.model"))
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(made[0]))
+    code = """
+import pickle, re, sys
+import numpy as np, pyarrow as pa
+r = np.random.default_rng(1)
+words = np.array(["".join(chr(97 + k // 26**i % 26) for i in range(5)) for k in r.permutation(400_000)], object)
+def peak():
+    return int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+def batches():
+    for k in range(2):
+        at = np.where(r.random((5000, 350)) < 0.5, r.integers(0, 2000, (5000, 350)), r.integers(0, len(words), (5000, 350)))
+        yield pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array([" ".join(x) for x in words[at]])], names=["id", "t"])
+f, parts = pickle.load(open(sys.argv[1], "rb")), list(batches())
+before = peak()
+assert all(b.num_rows and all(b.column(3).to_pylist()) and all(b.column(4).to_pylist()) for b in f(parts))
+print(peak() - before)
+"""
+    root = str(Path(spm.__file__).parents[2])
+    said = subprocess.run([sys.executable, "-B", "-c", code, str(tmp_path / "f")], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, check=True)
+    assert int(said.stdout) < 300
+
+
 def field(number, value):
     """One protobuf field: varint, float or bytes."""
 
